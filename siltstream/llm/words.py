@@ -151,12 +151,12 @@ def find_words(col: pa.Array, rule: WordRule) -> Words:
     return Words(data, start, end, np.searchsorted(start, off), hashes)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts have about ``limit`` bytes together; one long text is a slice of its own."""
+def pieces(batch: pa.RecordBatch, column: str, limit: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ``rows`` rows whose texts have about ``limit`` bytes; one long text is its own slice."""
     sizes = np.diff(buffers(batch.column(column))[1])
     total, begin = 0, 0
     for i, size in enumerate(sizes.tolist()):
-        if i > begin and total + size > limit:
+        if i > begin and (total + size > limit or i - begin == rows):
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
         total += size
