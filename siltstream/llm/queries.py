@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import render_chats
 from .decontaminate import mark_benchmark
+from .html import extract_main_text
 from .minhash import near_duplicates
 from .mixing import mix_sources
 from .quality import is_held_out, score_quality, train_quality
+from .shared import new_path
 from .substring import remove_repeats
 from .topk import exact_top_k
+from .urls import filter_urls, seed_urls, train_url_filter
+from .warc import read_warc, transactions, write_warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +30,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render_chats(_read(spark, sf_dir, "conversations"))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_main_text(_read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle=5, percent=75, bands=32, rows=4)
 
@@ -42,6 +56,20 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_warc(_read(spark, sf_dir, "pages"), path, least_bytes=100)
+    out = transactions(read_warc(spark, path, with_payload=False))
+    refers_to = F.regexp_extract("capture.refers_to", r"\A<urn:page:(-?[0-9]+)>\z", 1)
+    return out.select(
+        "page_id",
+        F.col("capture.payload_bytes").alias("payload_bytes"),
+        F.col("capture.payload_digest").alias("payload_digest"),
+        F.col("capture.record_type").alias("record_type"),
+        F.when(F.col("capture.refers_to").isNotNull(), refers_to.cast("long")).alias("refers_to"),
+    )
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = train_quality(docs, _read(spark, sf_dir, "labels").select("doc_id", "quality"), max_docs=4000)
@@ -53,21 +81,50 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_read(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = train_url_filter(seed_urls(spark), max_rows=5000)
+    return filter_urls(_read(spark, sf_dir, "pages"), model).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_read(spark, sf_dir, "documents"), factor=1.5, weights=(5, 2, 1), most=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_formatting": op1_chat_formatting,
+    "op2_html_extraction": op2_html_extraction,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_warc": op4_warc,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_url_filters": op9_url_filters,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_chat_formatting": """
+        WITH turns AS (
+            SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS rank
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), whole AS (
+            SELECT conv_id, list({'r': role, 't': text} ORDER BY rank) AS turns, count(*) AS n,
+                string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10), '' ORDER BY rank) AS rendered
+            FROM turns GROUP BY conv_id
+        ), same AS (SELECT min(conv_id) AS conv_id, turns, n, min(rendered) AS rendered, count(*) AS copies FROM whole GROUP BY turns, n)
+        SELECT conv_id, n AS n_turns, copies, rendered FROM same s
+        WHERE NOT EXISTS (SELECT 1 FROM same l WHERE l.n > s.n AND l.turns[1] = s.turns[1] AND l.turns[1:s.n] = s.turns)
+    """,
+    "op4_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha256(coalesce(html, '')) AS payload_digest, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+        f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY payload_digest)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.payload_digest,
+            CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN first_id < page_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f USING (payload_digest)
+    """,
     "op8_exact_top_k": """
         WITH good AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
