@@ -334,3 +334,71 @@ _RESULTS = ["transient", "full", "transient", "transient", "ok", "transient", "t
 def drain_trace(spark: SparkSession, sf: str) -> DataFrame:
     rows = B.events(spark, sf).select((F.col("user_id") % 50).alias("segment"), F.col("event_id").alias("n"), Pick(_RESULTS).col.alias("result"))
     return D.drain_trace(rows, 4)
+
+
+# ---------------------------------------------------------------- whole files, read back
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.segment_files import segment_bytes
+
+    return segment_bytes(B.segmented(spark, sf).filter("sealed"))
+
+
+def _damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """Sealed files, damaged in one of nine ways by their number."""
+    h, k, n = F.hex("data"), F.col("seg_no") % 10, F.octet_length("data")
+    cut = lambda drop: F.substring(h, F.lit(1), 2 * (n - drop))
+    patch = lambda at, byte: F.concat(F.substring(h, F.lit(1), 2 * at), F.lit(byte), F.substring(h, 2 * at + 3, 2 * n))
+    bad = (
+        F.when(k == 1, F.substring(h, 1, 20))
+        .when(k == 2, patch(F.lit(0), "58"))
+        .when(k == 3, cut(36))
+        .when(k == 4, patch(F.lit(32), "FF"))
+        .when(k == 5, cut(32))
+        .when(k == 6, F.concat(cut(13), F.lit("FFFFFFFFFF"), F.substring(h, 2 * (n - 8) + 1, F.lit(16))))
+        .when(k == 7, patch(n - 32, "FF"))
+        .when(k == 8, patch(n - 24, "00"))
+        .when(k == 9, F.concat(h, F.lit("00")))
+        .otherwise(h)
+    )
+    return _files(spark, sf).select("shard_id", "seg_no", F.unhex(bad).alias("data"))
+
+
+@query("segment_scan", f"{_SEG} SELECT shard_id, CAST(seg_no AS BIGINT) AS seg_no, row_number() OVER (PARTITION BY shard_id, seg_no ORDER BY seq) - 1 AS idx, hex(payload) AS payload_hex FROM seg WHERE sealed")
+def segment_scan(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.segment_files import scan_segments
+
+    return scan_segments(_files(spark, sf), "shard_id", "seg_no").select("shard_id", "seg_no", "idx", F.hex("payload").alias("payload_hex"))
+
+
+@query(
+    "segment_verify",
+    f"""{_SEG}, {_LEDGER} SELECT shard_id, seg_no, ['ok', 'TooShort', 'Header', 'NoSentinel', 'BadRecord', 'MissingFooter', 'CrcMismatch', 'FooterMismatch(count)', 'FooterMismatch(bytes)', 'TrailingBytes'][CAST(seg_no % 10 AS INT) + 1] AS verdict,
+        CASE WHEN seg_no % 10 IN (1, 2, 4) THEN 0 ELSE record_count END AS records FROM foot""",
+)
+def segment_verify(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.segment_files import verify_segments
+
+    return verify_segments(_damaged(spark, sf), "shard_id", "seg_no").select("shard_id", "seg_no", "verdict", "records")
+
+
+@query(
+    "reader_prefix",
+    f"{_SEG}, {_LEDGER} SELECT shard_id, seg_no, CASE WHEN seg_no % 10 IN (1, 2, 4) THEN 0 ELSE record_count END AS good, CASE WHEN seg_no % 10 IN (1, 2) THEN 'header' WHEN seg_no % 10 = 4 THEN 'bad_crc' END AS error FROM foot",
+)
+def reader_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.segment_files import scan_segments
+
+    rows = scan_segments(_damaged(spark, sf), "shard_id", "seg_no")
+    return rows.groupBy("shard_id", "seg_no").agg(F.count("payload").alias("good"), F.max("error").alias("error"))
+
+
+@query(
+    "recover_prefix",
+    f"""{_SEG}, {_LEDGER} SELECT shard_id, seg_no, CASE WHEN seg_no % 10 IN (1, 2, 4) THEN 0 ELSE record_count END AS records,
+        CASE seg_no % 10 WHEN 1 THEN 'quarantine' WHEN 2 THEN 'quarantine' WHEN 4 THEN 'copy_and_truncate' ELSE 'seal' END AS action FROM foot""",
+)
+def recover_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.segment_files import verify_segments
+
+    found = verify_segments(_damaged(spark, sf), "shard_id", "seg_no")
+    return found.select("shard_id", "seg_no", "records", V.recovery_class(F.col("fault"), F.col("trailing"), F.lit(True)).alias("action"))
