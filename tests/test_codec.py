@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siltstream.functions import codec
 
 
-def _frame(payload, kind=1, tier=1, version=1, flags=0, length=None, magic=b"WEIR"):
+def _frame(payload, kind=1, tier=1, version=1, flags=0, length=None, magic=bytes.fromhex(codec.MAGIC)):
     head = magic + bytes([version, kind, tier, flags]) + (len(payload) if length is None else length).to_bytes(4, "little")
     return head + zlib.crc32(head).to_bytes(4, "little") + payload + zlib.crc32(payload).to_bytes(4, "little")
 
@@ -40,7 +40,7 @@ def test_each_damage_has_its_verdict(spark):
     }
     assert _verdicts(spark, list(cases.values())) == list(cases)
     # order of checks: version before header CRC, durability before flags, cap before length
-    assert _verdicts(spark, [good[:4] + b"\7\0\0\0" + good[8:], _frame(b"p", tier=0, flags=1), b"WE"]) == ["VersionMismatch", "UnknownDurability", "TruncatedFrame"]
+    assert _verdicts(spark, [good[:4] + b"\7\0\0\0" + good[8:], _frame(b"p", tier=0, flags=1), good[:2]]) == ["VersionMismatch", "UnknownDurability", "TruncatedFrame"]
 
 
 @settings(max_examples=5, deadline=None)

@@ -54,7 +54,7 @@ def test_segment_files_round_trip_and_refuse_overwrite(spark, tmp_path):
 
 def test_any_bytes_scan_without_error():
     r = random.Random(1)
-    good = b"WEIR\x01" + bytes(19)
+    good = W._MAGIC + b"\x01" + bytes(19)
     for _ in range(500):
         found = W.scan_segment((good if r.random() < 0.7 else b"") + bytes(r.choices(range(4), k=r.randint(0, 60))))
         assert found.verdict and found.fault
