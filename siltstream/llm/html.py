@@ -52,17 +52,17 @@ def blocks(page: str | None) -> list[Block]:
         return out
     stack: list[tuple[str, str, bool]] = []  # tag, entry of the path, labelled as main
     parts: list[str] = []
-    linked, links, at, n = 0, 0, 0, len(page)
+    linked, links, at, n, labelled = 0, 0, 0, len(page), False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, labelled
         raw = "".join(parts)
         parts.clear()
         if raw and not raw.isspace():
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                out.append(Block(tuple(s[1] for s in stack if s[0] not in _INLINE), text, linked, any(s[2] for s in stack)))
-        linked = 0
+                out.append(Block(tuple(s[1] for s in stack if s[0] not in _INLINE), text, linked, labelled))
+        linked, labelled = 0, False
 
     while at < n:
         token = _TOKEN.search(page, at)
@@ -70,6 +70,7 @@ def blocks(page: str | None) -> list[Block]:
         if begin > at:
             piece = page[at:begin]
             parts.append(piece)
+            labelled = labelled or any(s[2] for s in stack)
             if links:
                 linked += len(piece)
         if not token:
@@ -137,17 +138,32 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
+#: Tags that tell what their inside is for, even without a class or id.
+_TELLING = frozenset("article aside body dialog fieldset footer form header main nav".split())
+
+
 def path_features(path: tuple[str, ...]) -> set[str]:
+    """Tags and names of all ancestors; those of the innermost telling container and of the one around it apart."""
     out: set[str] = set()
+    telling: list[str] = []
     for depth, entry in enumerate(reversed(path)):
         tag, *names = entry.split(" ")
         out.add(f"in {tag}")
         out.update(f"name {x}" for x in names)
         if depth == 0:
             out.add(f"own {tag}")
-            out.update(f"own name {x}" for x in names)
-        elif depth == 1:
-            out.add(f"parent {tag}")
+        if names or tag in _TELLING:
+            if len(telling) < 2:
+                place = ("inner", "outer")[len(telling)]
+                out.add(f"{place} {tag}")
+                out.update(f"{place} name {x}" for x in names)
+            telling.append(tag)
+    if path and telling:
+        own = path[-1].partition(" ")[0]
+        out.add(f"own {own} inner {telling[0]}")
+        if len(telling) > 1:
+            out.add(f"inner {telling[0]} outer {telling[1]}")
+            out.add(f"own {own} inner {telling[0]} outer {telling[1]}")
     return out
 
 
@@ -200,7 +216,7 @@ class Field:
         return out[::-1]
 
 
-def fit(pages: list[list[Block]], steps: int = 250, rate: float = 0.1, decay: float = 1e-4) -> Field:
+def fit(pages: list[list[Block]], steps: int = 300, rate: float = 0.1, decay: float = 2e-5) -> Field:
     """Maximum likelihood by Adam; all pages advance together, position by position, in forward-backward."""
     pages = [p for p in pages if p]
     names: dict[str, int] = {}

@@ -17,6 +17,7 @@ _NOTICE = ["cookie", "cookie-notice", "consent", "notice", "alert", "gdpr", "ban
 _ADVERT = ["ad", "ads", "advert", "advertisement", "sponsored", "promo", "promotion", "adsense", "sponsor", "ad-slot", "banner-ad", "commercial"]
 _FORM = ["search", "newsletter", "subscribe", "login", "signup", "contact-form", "form", "share", "social"]
 _COMMENT = ["comments", "comment", "comment-list", "responses", "discussion", "disqus", "replies", "reply", "reader-comments", "comment-body", "user-comments", "commentlist"]
+_PLAIN = ["inner", "row", "col", "box", "block", "group", "item", "wrap", "body", "container", "panel"]
 
 
 class _Page:
@@ -41,50 +42,67 @@ class _Page:
         return text
 
     def name(self, names: list[str]) -> str:
-        return f'{self.r.choice(["class", "class", "id"])}="{self.r.choice(names)}"'
+        """A class or id from the list, often beside a word that tells nothing."""
+        r, name = self.r, self.r.choice(names)
+        other = "".join(r.choices("bcdfgklmnprstvz", k=2)) + r.choice(_SYLLABLES)
+        name = r.choice([name, name, name, f"{name}-{other}", f"{other}-{name}", f"{other} {name}", f"{name} {other}"])
+        return f'{r.choice(["class", "class", "id"])}="{name}"'
+
+    def wrapped(self, inside: str) -> str:
+        """Sometimes inside a further element that tells nothing."""
+        x = self.r.random()
+        if x < 0.12:
+            return f"<div>{inside}</div>"
+        return f"<div {self.name(_PLAIN)}>{inside}</div>" if x < 0.25 else inside
 
     def menu(self) -> str:
         items = "".join(f'<li><a href="/{i}">{self.words(1, 3)}</a></li>' for i in range(self.r.randint(2, 8)))
         return self.r.choice([f"<nav><ul>{items}</ul></nav>", f"<nav {self.name(_MENU)}><ul>{items}</ul></nav>", f"<div {self.name(_MENU)}><ul>{items}</ul></div>", f"<ul {self.name(_MENU)}>{items}</ul>", f'<div role="navigation"><ul>{items}</ul></div>'])
 
     def header(self) -> str:
-        inside = f"<h1>{self.words(1, 5)}</h1>" + self.r.choice(["", f"<p>{self.words(3, 9)}</p>", self.menu()])
-        return self.r.choice([f"<header>{inside}</header>", f"<header {self.name(_HEAD)}>{inside}</header>", f"<div {self.name(_HEAD)}>{inside}</div>"])
+        inside = f"<h1>{self.words(1, 5)}</h1>" + self.r.choice(["", f"<p>{self.words(3, 9)}</p>", f"<p>{self.prose()}</p>", f"<div>{self.prose()}</div>", self.menu()])
+        inside = self.wrapped(inside)
+        return self.r.choice([f"<header>{inside}</header>", f'<div role="banner">{inside}</div>', f"<header {self.name(_HEAD)}>{inside}</header>", f"<div {self.name(_HEAD)}>{inside}</div>"])
 
     def footer(self) -> str:
         inside = self.r.choice([f"&copy; {self.words(1, 3)} &middot; {self.prose()}", f"<p>{self.prose()}</p><p>&copy; 2024 {self.words(1, 3)}</p>", self.menu() + f"<p>{self.words(2, 8)}</p>"])
-        return self.r.choice([f"<footer>{inside}</footer>", f"<footer {self.name(_FOOT)}>{inside}</footer>", f"<div {self.name(_FOOT)}>{inside}</div>"])
+        inside = self.wrapped(self.r.choice([inside, self.prose()]))
+        return self.r.choice([f"<footer>{inside}</footer>", f'<div role="contentinfo">{inside}</div>', f"<footer {self.name(_FOOT)}>{inside}</footer>", f"<div {self.name(_FOOT)}>{inside}</div>"])
 
     def _side_parts(self) -> str:
         return "".join(self.r.choice([f"<h3>{self.words(1, 4)}</h3>", f"<p>{self.prose()}</p>", f'<ul><li><a href="#">{self.words(2, 7)}</a></li></ul>']) for _ in range(self.r.randint(1, 4)))
 
     def side(self) -> str:
-        inside = self._side_parts()
-        return self.r.choice([f"<aside>{inside}</aside>", f"<aside {self.name(_SIDE)}>{inside}</aside>", f"<div {self.name(_SIDE)}>{inside}</div>", f"<section {self.name(_SIDE)}>{inside}</section>"])
+        inside = self.wrapped(self._side_parts())
+        return self.r.choice([f'<div role="complementary">{inside}</div>', f"<aside>{inside}</aside>", f"<aside {self.name(_SIDE)}>{inside}</aside>", f"<div {self.name(_SIDE)}>{inside}</div>", f"<section {self.name(_SIDE)}>{inside}</section>"])
 
     def notice(self) -> str:
         inside = self.r.choice([self.prose(), f"<p>{self.prose()}</p><button>{self.words(1, 2)}</button>", f"<p>{self.prose()}</p>"])
+        inside = self.wrapped(inside)
         return self.r.choice([f"<div {self.name(_NOTICE)}>{inside}</div>", f"<section {self.name(_NOTICE)}>{inside}</section>", f'<div role="alert">{inside}</div>', f'<div role="dialog">{inside}</div>', f"<dialog>{inside}</dialog>", f"<p {self.name(_NOTICE)}>{self.prose()}</p>"])
 
     def advert(self) -> str:
         inside = self.r.choice([self.prose(), f"<p>{self.prose()}</p>", f'<a href="#">{self.words(2, 8)}</a>'])
-        return self.r.choice([f"<div {self.name(_ADVERT)}>{inside}</div>", f"<aside {self.name(_ADVERT)}>{inside}</aside>", f"<section {self.name(_ADVERT)}>{inside}</section>", f"<p {self.name(_ADVERT)}>{self.prose()}</p>"])
+        inside = self.wrapped(inside)
+        return self.r.choice([f"<div {self.name(_ADVERT)}>{inside}</div>", f"<div {self.name(_ADVERT)}>{inside}</div>", f"<aside {self.name(_ADVERT)}>{inside}</aside>", f"<section {self.name(_ADVERT)}>{inside}</section>", f"<p {self.name(_ADVERT)}>{self.prose()}</p>"])
 
     def form(self) -> str:
-        inside = f"<p>{self.words(2, 9)}</p><label>{self.words(1, 3)}</label><input name=q><select><option>{self.words(1, 2)}<option>{self.words(1, 2)}</select><button>{self.words(1, 2)}</button>"
-        return self.r.choice([f"<form>{inside}</form>", f"<form {self.name(_FORM)}>{inside}</form>", f"<div {self.name(_FORM)}>{inside}</div>", f"<div {self.name(_FORM)}><form>{inside}</form></div>", f"<fieldset>{inside}</fieldset>"])
+        text = self.r.choice([self.words(2, 9), self.prose()])
+        inside = f"<p>{text}</p><label>{self.r.choice([self.words(1, 3), self.prose()])}</label><input name=q><select><option>{self.words(1, 2)}<option>{self.words(1, 2)}</select><button>{self.words(1, 2)}</button>"
+        return self.r.choice([f"<form>{inside}</form>", f"<form>{inside}</form>", f'<div role="search">{inside}</div>', f"<form {self.name(_FORM)}>{inside}</form>", f"<div {self.name(_FORM)}>{inside}</div>", f"<div {self.name(_FORM)}><form>{inside}</form></div>", f"<fieldset>{inside}</fieldset>"])
 
     def comments(self) -> str:
         posts = [f"<p>{self.prose()}</p>" for _ in range(self.r.randint(1, 4))]
         shapes = [f"<div {self.name(_COMMENT)}>{{}}</div>", "<li>{}</li>", f"<article {self.name(_COMMENT)}>{{}}</article>", "{}"]
-        inside = f"<h2>{self.words(1, 3)}</h2>" + "".join(self.r.choice(shapes).format(p) for p in posts)
+        inside = self.r.choice(["", f"<h2>{self.words(1, 3)}</h2>"]) + "".join(self.r.choice(shapes).format(p) for p in posts)
+        inside = self.wrapped(inside)
         return self.r.choice([f"<section {self.name(_COMMENT)}>{inside}</section>", f"<div {self.name(_COMMENT)}>{inside}</div>", f"<ol {self.name(_COMMENT)}>{inside}</ol>"])
 
     def article(self) -> str:
         r = self.r
         parts = [r.choice([f"<h1 data-main>{self.words(2, 9)}</h1>", f"<header><h1 data-main>{self.words(2, 9)}</h1></header>", f"<h1 class=title data-main>{self.words(2, 9)}</h1>", ""])]
         for _ in range(r.randint(1, 8)):
-            x = r.random()
+            x = r.random() * 1.25
             if x < 0.55:
                 parts.append(f"<p data-main>{self.prose()}" + r.choice(["</p>", "</p>", "<br>"]))
             elif x < 0.63:
@@ -103,12 +121,16 @@ class _Page:
                 parts.append(f"<figure data-main><figcaption>{self.prose()}</figcaption></figure>")
             elif x < 0.90:
                 parts.append(f"<pre data-main>{self.words(3, 20)}</pre>")
+            elif x < 0.98:  # text of the container itself
+                parts.append(f"<span data-main>{self.prose()}</span><br>")
+            elif x < 1.02:
+                parts.append(f"<div {self.name(_PLAIN)} data-main><p>{self.prose()}</p></div>")
             else:
                 parts.append(r.choice([self.advert, self.side, self.form, self.notice])())
-        if r.random() < 0.15:
-            parts.append(r.choice([self.comments, self.footer, self.menu])())
+        if r.random() < 0.3:
+            parts.append(r.choice([self.comments, self.comments, self.footer, self.menu])())
         inside = "".join(parts)
-        shape = r.choice(["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", f"<div {self.name(_CONTENT)}>{{}}</div>", f"<article {self.name(_CONTENT)}>{{}}</article>", f"<main><div {self.name(_CONTENT)}>{{}}</div></main>", '<div role="main">{}</div>', f"<section {self.name(_CONTENT)}>{{}}</section>", "{}", "<div>{}</div>"])
+        shape = r.choice(["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", f"<div {self.name(_CONTENT)}>{{}}</div>", f"<div {self.name(_CONTENT)}>{{}}</div>", f"<div {self.name(_CONTENT)}>{{}}</div>", f"<article {self.name(_CONTENT)}>{{}}</article>", f"<main><div {self.name(_CONTENT)}>{{}}</div></main>", '<div role="main">{}</div>', f"<section {self.name(_CONTENT)}>{{}}</section>", "{}", "<div>{}</div>"])
         return shape.format(inside)
 
     def page(self) -> str:
@@ -116,11 +138,13 @@ class _Page:
         before = [f for f, p in ((self.notice, 0.3), (self.header, 0.5), (self.menu, 0.7), (self.form, 0.25), (self.advert, 0.5), (self.side, 0.2)) if r.random() < p]
         after = [f for f, p in ((self.side, 0.4), (self.advert, 0.3), (self.comments, 0.5), (self.form, 0.25), (self.menu, 0.15), (self.footer, 0.8), (self.notice, 0.15)) if r.random() < p]
         r.shuffle(before)
+        if r.random() < 0.2:
+            before = []
         inside = "".join(f() for f in before) + self.article() + "".join(f() for f in after)
-        if r.random() < 0.25:
+        if r.random() < 0.4:
             inside = f'<div {self.name(["wrapper", "container", "page", "site", "row", "layout"])}>{inside}</div>'
         return f"<html><head><title>{self.words(2, 6)}</title></head><body>{inside}</body></html>"
 
 
-def labelled_pages(n: int = 900, seed: int = 5) -> list[str]:
+def labelled_pages(n: int = 2000, seed: int = 5) -> list[str]:
     return [_Page(seed * 1_000_003 + i).page() for i in range(n)]
