@@ -27,14 +27,14 @@ def _beside(docs: DataFrame, *names: str) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents that score below 0.3; the classifier learns from the labelled rows that aren't held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    model = train_quality(docs.select("doc_id", "text"), labels, max_docs=4000)
+    model = train_quality(docs.select("doc_id", "text"), labels, max_docs=2000)
     scored = score_quality(docs, model, score_col="_quality_score")
     return scored.filter("_quality_score >= 0.3").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group; rows that repeat its id go, rows without an id stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=75, bands=64, rows=6, bins=1024)
+    found = near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=75, bands=64, rows=6)
     kept = found.filter("kept and doc_id is not null").select("doc_id").distinct()
     single = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return single.unionByName(docs.filter("doc_id is null")).select(*docs.columns)

@@ -16,7 +16,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     split.  Stops when the sum of all labels, which only falls, stays.
     """
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
-    edges = stored(edges.distinct(), f"{name}-edges")
+    edges = stored(edges, f"{name}-edges")
     labels = stored(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("root")), f"{name}-labels")
     before = None
     while True:

@@ -1,18 +1,21 @@
 """Near-duplicate documents by one-permutation MinHash, confirmed on full shingle sets.
 
-Sketch: the hashes of a document's distinct shingles fall into ``bands * rows`` bins; each bin keeps its smallest.
-An empty bin takes the value of the first filled bin in a random order of bins that depends on the empty bin only
-(optimal densification), so bins agree with probability J whatever the size of the sets.  ``rows`` bins make a band;
-documents with an equal band share a bucket.  32 bands of 4 bins miss a pair at J = 0.75 with probability 5e-6.
-
-Candidates are stars: each bucket links its members to one centre, never all pairs.  Pairs are confirmed on the full
-sets of both texts.  A star alone would lose members that are similar to each other but not to the centre, so
-buckets whose members still lie in several components get further rounds with twice as many new centres each,
-until every member was compared with all others of the bucket outside its component, or none are left outside.
+Sketch: the hashes of a document's distinct shingles fall into ``bins`` bins; each bin keeps its smallest.  An empty
+bin takes the value of the first filled bin in a random order of bins that depends on the empty bin only (optimal
+densification), so bins agree with probability J whatever the size of the sets.  ``rows`` bins make a band; documents
+with an equal band share a bucket.  64 bands of 6 bins miss a pair at J = 0.75 with probability 4e-6.
+
+Candidates are stars: each bucket links its members to a centre, never all pairs.  Pairs are confirmed on the full
+sets of both texts.  One star would lose members that are similar to each other but not to the centre.  So where the
+members of a bucket lie in several components after the stars, those of different components are compared by a finer
+sketch, in blocks of about 256 x 256: two bits of each of 2,048 bins estimate J with a deviation of 0.012.  Only pairs
+less than 4 deviations below the threshold (one at the threshold is missed with probability 3e-5) become candidates:
+first one for each member, then, in the components that this leaves, all of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,10 +47,13 @@ def shingle_keys(words: Words, shingle: int) -> np.ndarray:
 
 
 @lru_cache(4)
-def _orders(bins: int) -> np.ndarray:
-    """For each bin a random order of all bins, the same everywhere."""
-    scores = mix(np.arange(bins * bins, dtype=U64) + U64(1) << U64(20)).reshape(bins, bins)
-    return np.argsort(scores, axis=1)
+def _orders(bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each bin a random order of all bins, the same everywhere, and the place of each bin in it."""
+    scores = mix(np.arange(bins * bins, dtype=U64) + (U64(1) << U64(40))).reshape(bins, bins)
+    orders = np.argsort(scores, axis=1).astype(np.int32)
+    places = np.empty_like(orders)
+    np.put_along_axis(places, orders, np.arange(bins, dtype=np.int32)[None, :], axis=1)
+    return orders, places
 
 
 def sketches(keys: np.ndarray, n_rows: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,24 +66,52 @@ def sketches(keys: np.ndarray, n_rows: int, bins: int) -> tuple[np.ndarray, np.n
     where = cell[begins].astype(np.int64)
     table.reshape(-1)[where] = keys[begins] & U64((1 << HASH_BITS) - 1)
     filled.reshape(-1)[where] = True
-    some = filled.any(axis=1)
-    row, col = np.nonzero(~filled & some[:, None])
-    orders, step = _orders(bins), 0
+    count = filled.sum(axis=1)
+    orders, places = _orders(bins)
+    for i in np.flatnonzero((count > 0) & (count <= 32)).tolist():  # few filled bins: find the first of them directly
+        own = np.flatnonzero(filled[i])
+        table[i] = np.where(filled[i], table[i], table[i, own[np.argmin(places[:, own], axis=1)]])
+    row, col = np.nonzero(~filled & (count > 32)[:, None])
+    step = 0
     while len(row):
         source = orders[col, step]
         ok = filled[row, source]
         table[row[ok], col[ok]] = table[row[ok], source[ok]]
         row, col, step = row[~ok], col[~ok], step + 1
-    return table, some
+    return table, count > 0
 
 
 def band_keys(table: np.ndarray, bands: int, rows: int) -> np.ndarray:
     weights = mix(np.arange(1, rows + 1, dtype=U64))
-    salted = (table.reshape(len(table), bands, rows) * weights).sum(axis=2, dtype=U64)
+    salted = (table[:, : bands * rows].reshape(len(table), bands, rows) * weights).sum(axis=2, dtype=U64)
     return mix(salted + mix(np.arange(1, bands + 1, dtype=U64) << U64(32)))
 
 
-def sketch_table(df: DataFrame, text_col: str, shingle: int, bands: int, rows: int, chunk_bytes: int) -> DataFrame:
+def bit_sketch(table: np.ndarray) -> np.ndarray:
+    """Two bits of each bin, salted by the bin, as two planes of 64-bit numbers."""
+    values = mix(table + np.arange(table.shape[1], dtype=U64) * U64(0x9E3779B97F4A7C15))
+    return np.concatenate([np.packbits(((values >> U64(i)) & U64(1)).astype(np.uint8), axis=1).view(np.int64) for i in (0, 1)], axis=1)
+
+
+def _lists(values: np.ndarray, some: np.ndarray) -> pa.Array:
+    """Rows of a matrix as lists; empty for rows without words."""
+    offsets = np.concatenate(([0], np.cumsum(some))) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values[some].reshape(-1)))
+
+
+def fine_sketches(texts: DataFrame, shingle: int, bins: int, chunk_bytes: int) -> DataFrame:
+    """(rep, bits) for texts(id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "text", chunk_bytes, 1024):
+                table, some = sketches(shingle_keys(find_words(piece.column("text"), SPACED_LOWER), shingle), piece.num_rows, bins)
+                yield pa.RecordBatch.from_arrays([piece.column("id"), _lists(bit_sketch(table), some)], ["rep", "bits"])
+
+    return texts.mapInArrow(run, "rep long, bits array<long>")
+
+
+def sketch_table(df: DataFrame, text_col: str, shingle: int, bands: int, rows: int, bins: int, chunk_bytes: int) -> DataFrame:
     """id, n (size of the shingle set), s1 and s2 (128 bits that stand for the set), keys (one for each band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,13 +128,9 @@ def sketch_table(df: DataFrame, text_col: str, shingle: int, bands: int, rows: i
                     total = np.zeros(len(value) + 1, U64)
                     np.cumsum(mix(value + (U64(salt) << U64(24))), out=total[1:])
                     sums.append(pa.array((total[edges[1:]] - total[edges[:-1]]).view(np.int64)))
-                table, some = sketches(keys, n, bands * rows)
-                flat = band_keys(table, bands, rows)[some].reshape(-1).view(np.int64)
-                offsets = np.concatenate(([0], np.cumsum(some))) * bands
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("id"), pa.array(size.astype(np.int64)), *sums, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))],
-                    ["id", "n", "s1", "s2", "keys"],
-                )
+                table, some = sketches(keys, n, bins)
+                keys_of = _lists(band_keys(table, bands, rows).view(np.int64), some)
+                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(size.astype(np.int64)), *sums, keys_of], ["id", "n", "s1", "s2", "keys"])
 
     return df.mapInArrow(run, "id long, n long, s1 long, s2 long, keys array<long>")
 
@@ -132,11 +162,138 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, chun
 
     side = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(side, "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+#: Members of a bucket in one block of comparisons.
+BLOCK = 256
+_MEMBER = ("rep", "n", "root")
+NO_ROOT = np.iinfo(np.int64).max
+
+
+def _close_pairs(x: dict[str, np.ndarray], y: dict[str, np.ndarray] | None, percent: int, most: int, one: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of members of different components, of sizes that allow a link, whose sketches differ in few bins.
+
+    y None: within x, each pair once.  one: only the most promising partner of each member, which is that of the
+    component with the smallest root among those that seem to reach the threshold, or else the closest.
+    """
+    other = x if y is None else y
+    half = x["bits"].shape[1] // 2
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(x["rep"])):
+        from_ = i + 1 if y is None and not one else 0
+        n, m = x["n"][i], other["n"][from_:]
+        fits = (other["root"][from_:] != x["root"][i]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+        at = np.flatnonzero(fits) + from_
+        if not len(at):
+            continue
+        differ = (other["bits"][at] ^ x["bits"][i]).view(U64)  # unsigned: a count of signed numbers drops the sign
+        bins = np.bitwise_count(differ[:, :half] | differ[:, half:]).sum(axis=1)
+        close = bins <= most
+        at, bins = at[close], bins[close]
+        if one and len(at):
+            likely = bins <= 64 * half * (100 - percent) * 3 // 400  # as many as at the threshold
+            root = np.where(likely, other["root"][at], NO_ROOT)
+            at = at[np.lexsort((bins, root))[:1]]
+        left.append(np.full(len(at), x["rep"][i]))
+        right.append(other["rep"][at])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _pairs_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    out = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _MEMBER}
+    return out | {"bits": batch.column("bits").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)}
+
+
+def deal_members(members: DataFrame) -> DataFrame:
+    """Deal members(key, size, rep, ...) of each bucket out into blocks by hash: adds blocks and block."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    return members.select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks.cast("long")).cast("int").alias("block"))
+
+
+def compare_members(dealt: DataFrame, percent: int, most: int, one: bool = False) -> DataFrame:
+    """Distinct candidate pairs (a, b) of dealt members(key, block, blocks, rep, n, root, bits) of the same bucket.
+
+    A block is compared with itself where it is put together; each pair of blocks of a large bucket is a row of its
+    own, so that no task gets a whole bucket.  one: a block with itself only, one partner for each member.
+    """
+    ordered = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of one block at a time; blocks lie together, but may go on in the next batch."""
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            key, block = batch.column("key").to_numpy(), batch.column("block").to_numpy()
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+            edges = [0, *cuts.tolist(), batch.num_rows]
+            for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                part = batch.slice(a, b - a)
+                if i == 0 and rest and part.num_rows and (rest[0].column("key")[0], rest[0].column("block")[0]) != (part.column("key")[0], part.column("block")[0]):
+                    yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+                    rest = []
+                if i > 0:
+                    yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+                    rest = []
+                if part.num_rows:
+                    rest.append(part)
+        if rest:
+            yield pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for group in groups(batches):
+            found.append(_close_pairs(_columns(group), None, percent, most, one))
+            if len(found) >= 4096:
+                yield _pairs_batch(found)
+                found = []
+        yield _pairs_batch(found)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches):
+            x = _columns(group)
+            head = [group.column(c).slice(0, 1) for c in ("key", "block", "blocks")]
+            yield pa.RecordBatch.from_arrays([*head, *[pa.array([x[c].astype(np.int64).tobytes()], pa.binary()) for c in (*_MEMBER, "bits")]], ["key", "block", "blocks", *_MEMBER, "bits"])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sides = []
+                for side in ("l_", "r_"):
+                    x = {c: np.frombuffer(batch.column(side + c)[i].as_py(), np.int64) for c in (*_MEMBER, "bits")}
+                    sides.append(x | {"bits": x["bits"].reshape(len(x["rep"]), -1)})
+                yield _pairs_batch([_close_pairs(*sides, percent, most)])
+
+    own = ordered.mapInArrow(within, "a long, b long")
+    if one:
+        return own.distinct()
+    packed = ordered.filter("blocks > 1").mapInArrow(pack, "key long, block int, blocks int, rep binary, n binary, root binary, bits binary")
+    packed = stored(packed, "blocks")
+    names = (*_MEMBER, "bits")
+    later = F.sequence(F.col("block") + 1, F.col("blocks") - 1)
+    left = packed.filter("block < blocks - 1").select("key", F.col("block").alias("i"), F.explode(later).alias("j"), *[F.col(c).alias(f"l_{c}") for c in names])
+    right = packed.filter("block > 0").select("key", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), *[F.col(c).alias(f"r_{c}") for c in names])
+    pairs = own.union(left.join(right, ["key", "i", "j"]).mapInArrow(across, "a long, b long"))
+    return pairs.distinct()
 
 
 def near_duplicates(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, bands: int = 32, rows: int = 4, chunk_bytes: int = 1 << 20
+    df: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    percent: int = 75,
+    bands: int = 64,
+    rows: int = 6,
+    bins: int = 512,
+    fine_bins: int = 2048,
+    deviations: float = 4.0,
+    chunk_bytes: int = 1 << 20,
 ) -> DataFrame:
     """One row (``id_col``, ``n_shingles``, ``component_id``, ``kept``) per row of df.
 
@@ -146,7 +303,7 @@ def near_duplicates(
     null id has a null component, links with nothing and is kept.  Repeated rows and ids share their component.
     """
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketched = stored(sketch_table(docs, "text", shingle, bands, rows, chunk_bytes), "sketches")
+    sketched = stored(sketch_table(docs, "text", shingle, bands, rows, bins, chunk_bytes), "sketches")
     # One representative of each distinct set: copies never meet in a bucket.
     same = sketched.filter("n > 0 and id is not null").groupBy("n", "s1", "s2")
     classes = stored(same.agg(F.min("id").alias("rep"), F.first("keys").alias("keys")), "classes")
@@ -154,49 +311,37 @@ def near_duplicates(
     buckets = stored(in_band.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1").select("key", "c"), "buckets")
     members = stored(in_band.join(buckets, "key").select("key", "rep", "n", "c"), "members")
 
-    def similar_size(x: str, y: str) -> F.Column:
-        return F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    # The likeliest centre of each member: that of most of its buckets.
+    near = F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent
+    star = members.filter((F.col("rep") != F.col("c.rep")) & near).groupBy(F.col("c.rep").alias("a"), F.col("rep").alias("b")).count()
+    texts = stored(docs.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "candidates")
+    tested = stored(star.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
+    links = stored(confirm(tested, texts, shingle, percent, chunk_bytes), "links")
+    roots = components(links)
 
-    star = members.filter(F.col("rep") != F.col("c.rep")).filter(similar_size("n", "c.n")).groupBy(F.col("c.rep").alias("a"), F.col("rep").alias("b")).count()
-    star = stored(star, "star")
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    texts = stored(docs.join(wanted, "id", "left_semi"), "candidates")
+    # Buckets that still lie in several components.
+    def with_roots(rows: DataFrame) -> DataFrame:
+        joined = rows.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+        return joined.select(*rows.columns, F.coalesce("root", "rep").alias("root"))
 
-    # First the likeliest centre of each member; most other pairs then lie inside a component and need no test.
-    first = stored(star.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
-    links = stored(confirm(first, texts, shingle, percent, chunk_bytes), "links")
-    roots = components(links)
-    tested, centres, turn = first, None, 0
-    open_rows = members.select("key", "rep", "n")
-    pending = star.select("a", "b")
-    while True:
-        if turn:
-            fewer = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << (turn - 1)))
-            chosen = open_rows.filter(~F.col("used")).groupBy("key", fewer.alias("part")).agg(F.min(F.struct("rep", "n", "root")).alias("c"))
-            chosen = stored(chosen.select("key", "c"), "centres")
-            pending = open_rows.join(chosen, "key").filter((F.col("root") != F.col("c.root")) & similar_size("n", "c.n"))
-            pending = pending.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
-        else:
-            side = roots.select(F.col("id").alias("a"), F.col("root").alias("ra")), roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-            pending = pending.join(side[0], "a", "left").join(side[1], "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        pairs = stored(pending.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            found = stored(confirm(pairs, texts, shingle, percent, chunk_bytes), "links")
-            tested = tested.union(pairs)
-            if not found.isEmpty():
-                links = links.union(found)
-                roots = components(links)
-        used = open_rows.select("key", "rep", "used") if turn else members.filter(F.col("rep") == F.col("c.rep")).select("key", "rep", F.lit(True).alias("used"))
-        if turn:
-            used = used.filter("used").union(chosen.select("key", "c.rep", F.lit(True))).distinct()
-        marked = open_rows.select("key", "rep", "n").join(used, ["key", "rep"], "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-        marked = stored(marked.select("key", "rep", "n", F.coalesce("root", "rep").alias("root"), F.coalesce("used", F.lit(False)).alias("used")), "open")
-        alive = marked.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("used").alias("z")).filter("x <> y and not z").select("key")
-        alive = stored(alive, "alive")
-        open_rows = stored(marked.join(alive, "key", "left_semi"), "open")
-        if open_rows.isEmpty():
-            break
-        turn += 1
+    marked = stored(with_roots(members.select("key", "rep", "n")), "marked")
+    still_open = marked.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"))
+    still_open = stored(still_open.filter("x <> y").select("key", "size"), "open")
+    left = stored(marked.drop("root").join(still_open, "key"), "left")
+    needed = texts.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    bits = fine_sketches(needed, shingle, fine_bins, chunk_bytes)
+    dealt = stored(deal_members(left.join(bits, "rep")), "dealt")
+    share = (1 - percent / 100) * 3 / 4  # of bins that differ at the threshold
+    most = math.ceil(fine_bins * share + deviations * math.sqrt(fine_bins * share * (1 - share)))
+    # First one partner for each member, which joins most of what belongs together; then all that are left.
+    for one in (True, False):
+        candidates = compare_members(with_roots(dealt), percent, most, one)
+        more = stored(candidates.join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = stored(confirm(more, texts, shingle, percent, chunk_bytes), "links")
+        tested = tested.union(more)
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = components(links)
 
     named = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("root", "rep").alias("root"))
     out = sketched.select("id", "n", "s1", "s2").join(stored(named, "roots"), ["n", "s1", "s2"], "left")

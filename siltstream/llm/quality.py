@@ -110,7 +110,7 @@ def _forward(w: dict[str, np.ndarray], features: np.ndarray, bag: np.ndarray) ->
     return _sigmoid(z @ w["c"] + w["d"][0]), x, h, t, g, p, z
 
 
-def fit(features: np.ndarray, bag: np.ndarray, labels: np.ndarray, hidden: int = 16, steps: int = 400, rate: float = 0.02, decay: float = 1e-4) -> QualityModel:
+def fit(features: np.ndarray, bag: np.ndarray, labels: np.ndarray, hidden: int = 16, steps: int = 250, rate: float = 0.03, decay: float = 1e-4) -> QualityModel:
     """Cross-entropy by Adam over all bags at once; the same input gives the same model."""
     if len(labels) == 0 or labels.min() == labels.max():
         return QualityModel.constant((float(labels.sum()) + 1) / (len(labels) + 2))
@@ -146,7 +146,7 @@ def is_held_out(id_col: str) -> F.Column:
 
 
 def train_quality(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 4000, max_passages: int = 64
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 2000, max_passages: int = 64
 ) -> QualityModel:
     """Fit on at most ``max_docs`` labelled rows that aren't held out (those with the smallest hashed ids), and at most
     ``max_passages`` evenly spaced passages of each.  Rows with a null id or label are no examples."""

@@ -40,7 +40,7 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_read(spark, sf_dir, "documents"), shingle=5, percent=75, bands=32, rows=4)
+    return near_duplicates(_read(spark, sf_dir, "documents"), shingle=5, percent=75, bands=64, rows=6)
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train_quality(docs, _read(spark, sf_dir, "labels").select("doc_id", "quality"), max_docs=4000)
+    model = train_quality(docs, _read(spark, sf_dir, "labels").select("doc_id", "quality"), max_docs=2000)
     scored = score_quality(docs, model)
     return scored.select("doc_id", is_held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
