@@ -28,11 +28,25 @@ _NAME = re.compile(r"[a-z]+")
 #: Tags that leave a block open.
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: What is inside these is never text of the page.
-_OPAQUE = frozenset("script style noscript template iframe object svg math title textarea head audio video canvas".split())
-_OPAQUE_END = {tag: re.compile(rf"</{tag}\b[^>]*>?", re.I) for tag in _OPAQUE}
+#: What is inside these is never text of the page: code; raw text, which holds no element of its own kind; markup.
+_CODE = frozenset("script style".split())
+_RAW = _CODE | frozenset("noscript iframe title textarea".split())
+_NESTED = frozenset("template object svg math audio video canvas".split())
+_SAME = {tag: re.compile(rf"<(/?){tag}(?=[\s/>]|\Z)[^>]*>?", re.I) for tag in _RAW}
+_TREE = {
+    tag: re.compile(
+        r"<!--.*?(?:-->|\Z)|<(script|style)(?=[\s>])[^>]*(?<!/)>.*?(?:</\1(?=[\s/>])|\Z)"
+        rf"|<(/?){tag}(?=[\s/>]|\Z)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+[^>]*+)(?:>|\Z)",
+        re.S | re.I,
+    )
+    for tag in _NESTED
+}
+#: A slash at the end of a tag, and not of an attribute without quotes.
+_SELF_CLOSED = re.compile(r"(?:\A|[\s\"']|(?:\A|\s)[^\s\"'=]+)/\s*\Z")
+#: Start tags that leave the head open.
+_HEAD = frozenset("base link meta title script style noscript template".split())
 #: A start tag of the key ends an open element of the values.
-_ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+_ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CLOSE_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol pre section table ul".split())
 _SCOPES = frozenset("table td th ul ol dl div article section aside body nav header footer main form blockquote figure".split())
 
@@ -45,6 +59,35 @@ class Block:
     main: bool  # label, if the page is a labelled one
 
 
+def _raw_end(page: str, tag: str, at: int, closed: bool) -> int:
+    """Where a raw element whose start tag ends at ``at`` ends: there, if it has no end tag before the next of its kind.
+
+    Code without an end tag goes on to the end of the page, as in browsers.
+    """
+    code = tag in _CODE and not closed
+    for same in _SAME[tag].finditer(page, at):
+        if same[1]:
+            return same.end()
+        if not code:
+            return at
+    return len(page) if code else at
+
+
+def _tree_ends(page: str, tag: str) -> dict[int, int]:
+    """Begin and end of the elements of a kind that can be nested; those without an end tag are left out."""
+    ends: dict[int, int] = {}
+    begun: list[int] = []
+    for token in _TREE[tag].finditer(page):
+        if token[2] is None:
+            continue
+        if not token[2]:
+            if tag not in ("svg", "math") or not _SELF_CLOSED.search(token[3]):
+                begun.append(token.start())
+        elif begun:
+            ends[begun.pop()] = token.end()
+    return ends
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order: references decoded, white space runs as one space, empty ones left out."""
     out: list[Block] = []
@@ -53,6 +96,7 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, str, bool]] = []  # tag, entry of the path, labelled as main
     parts: list[str] = []
     linked, links, at, n, labelled = 0, 0, 0, len(page), False
+    trees: dict[str, dict[int, int]] = {}
 
     def flush() -> None:
         nonlocal linked, labelled
@@ -69,6 +113,8 @@ def blocks(page: str | None) -> list[Block]:
         begin = token.start() if token else n
         if begin > at:
             piece = page[at:begin]
+            if stack and stack[-1][0] == "head" and not piece.isspace():
+                stack.pop()
             parts.append(piece)
             labelled = labelled or any(s[2] for s in stack)
             if links:
@@ -96,9 +142,16 @@ def blocks(page: str | None) -> list[Block]:
                 if tag not in _INLINE:
                     flush()
             continue
-        if tag in _OPAQUE:
-            end = _OPAQUE_END[tag].search(page, at)
-            at = end.end() if end else n
+        if stack and stack[-1][0] == "head" and tag not in _HEAD:
+            stack.pop()
+        if tag in _RAW:
+            at = _raw_end(page, tag, at, bool(_SELF_CLOSED.search(token[3])))
+            parts.append(" ")
+            continue
+        if tag in _NESTED:
+            if tag not in trees:
+                trees[tag] = _tree_ends(page, tag)
+            at = trees[tag].get(begin, at)
             parts.append(" ")
             continue
         if tag in ("br", "wbr", "img", "input"):
@@ -278,7 +331,8 @@ def main_text(page: list[Block], model: Field) -> str:
 def extract_main_text(df: DataFrame, model: Field | None = None, *, html_col: str = "html", text_col: str = "main_text") -> DataFrame:
     """All columns of df plus ``text_col``, which replaces a column of that name: the main blocks, joined by a space.
 
-    Null and empty pages, and pages without main text, give ''.  Markup need not be well-formed or complete.
+    Null and empty pages, and pages without main text, give ''.  Markup need not be well-formed or complete; only a
+    script or style without an end tag takes the rest of the page, as in browsers.
     """
     df = df.drop(*[c for c in df.columns if c.lower() == text_col.lower() and c != html_col])
     model = model or default_field()
