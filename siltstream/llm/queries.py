@@ -81,8 +81,9 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top_k(_read(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
 
 
-def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = train_url_filter(seed_urls(spark), max_rows=5000)
+def op9_url_filters(spark: SparkSession, sf_dir: str, labelled: DataFrame | None = None) -> DataFrame:
+    """``labelled`` (url, label 1 = block) takes the place of the URLs made by rule."""
+    model = train_url_filter(seed_urls(spark) if labelled is None else labelled, max_rows=5000)
     return filter_urls(_read(spark, sf_dir, "pages"), model).select("page_id", "host", "path", "rule", "verdict")
 
 
