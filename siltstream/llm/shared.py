@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,13 @@ _fallback: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``.  Only a session without that setting (tests) gets a local one."""
+    """The folder in ``spark.checkpoint.dir``.  Without that setting a local session gets a temporary folder of its own;
+    a session on other machines has to name one that they all share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="shared-"))
     return _fallback[0]
@@ -24,12 +28,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder that has been written when the driver's JVM ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors."""
+    """Write df as a table in the shared folder and read it again: cuts lineage and survives lost executors.
+
+    The table is deleted when the session's JVM ends, or before by ``drop``.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
