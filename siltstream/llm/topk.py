@@ -5,6 +5,8 @@ No score leaves its task: a round sends, for each query, a histogram over the qu
 holds the wanted count.  The summed histograms tell in which bin the k-th best score lies; the next round opens only
 that bin.  An interval of one score that many rows tie on is refined by id in the same way.  When few rows are left
 in the interval, one last pass keeps what reaches it, and the order (score, then smaller id) gives the ranks.
+
+Scores are exact integers whatever the size of the components; one that no long holds counts as the nearest long.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop, partitions, stored
+from .shared import partitions, stored
 
 BINS = 4096
 #: An interval with so many rows beyond k is not refined any further.
@@ -25,20 +27,22 @@ SLACK = 64
 _STATE = ["s_lo", "s_hi", "i_lo", "i_hi", "need"]
 
 
-def quantized(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """(id long, dim int, vec array<long>): floor(scale * x) of each component; rows with an unusable vector go."""
+def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id long, dim int, vec array<double>): rows with a null id or an unusable vector go."""
     x = F.col(vector_col).cast("array<double>")
     fine = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull()
     fine &= F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return df.filter(fine).select(F.col(id_col).cast("long").alias("id"), F.size(x).alias("dim"), F.transform(x, lambda v: F.floor(v * F.lit(float(scale)))).alias("vec"))
+    return df.filter(fine).select(F.col(id_col).cast("long").alias("id"), F.size(x).alias("dim"), x.alias("vec"))
 
 
-def _matrix(col: pa.Array, dim: int) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dim)
+def _floors(x: np.ndarray, scale: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.floor(x * scale)
 
 
-def _blocks(rows: int, extra: list[str]):
-    """Pack rows (id, dim, vec, extra longs) of each task into blocks of one dimension."""
+def _blocks(rows: int, extra: list[str], scale: int):
+    """Pack rows (id, dim, vec, extra longs) of each task into blocks of one dimension: the floors of the scaled
+    components where all are small, or else the components as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -49,10 +53,11 @@ def _blocks(rows: int, extra: list[str]):
                 for at in range(0, own.num_rows, rows):
                     part = own.slice(at, rows)
                     columns = [part.column(c).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for c in ("id", *extra)]
-                    body = _matrix(part.column("vec"), dim)
-                    small = bool(len(body)) and body.size > 0 and int(np.abs(body).max()) < 2**15
+                    body = part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(float)
+                    floors = _floors(body, scale)
+                    small = body.size > 0 and float(np.abs(floors).max()) < 2**15
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([number]), pa.array([dim], pa.int32()), pa.array([small]), pa.array([body.astype(np.int16 if small else np.int64).tobytes()], pa.binary()), *[pa.array([c], pa.binary()) for c in columns]],
+                        [pa.array([number]), pa.array([dim], pa.int32()), pa.array([small]), pa.array([floors.astype(np.int16).tobytes() if small else body.tobytes()], pa.binary()), *[pa.array([c], pa.binary()) for c in columns]],
                         ["block", "dim", "small", "body", "ids", *extra],
                     )
                     number += 1
@@ -60,55 +65,111 @@ def _blocks(rows: int, extra: list[str]):
     return run
 
 
-def _scores(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Integer inner products; by floating point where every sum is exact there."""
-    if q.size and r.size and float(np.abs(q).max()) * float(np.abs(r).max()) * q.shape[1] < 2.0**53:
-        return (q.astype(float) @ r.T.astype(float)).astype(np.int64)
-    return q @ r.T
-
-
-def _pair_inputs(batch: pa.RecordBatch) -> Iterator[tuple]:
+class _Side:
+    """One block of vectors: ``floors`` as floating-point numbers, exact below 2**53; ``raw``: the components, if not small."""
+
+    def __init__(self, body: bytes, small: bool, dim: int, scale: int):
+        self.raw = None if small else np.frombuffer(body, float).reshape(-1, dim)
+        self.scale = scale
+        self.floors = np.frombuffer(body, np.int16).astype(float).reshape(-1, dim) if small else _floors(self.raw, scale)
+        self.most = np.abs(self.floors).max(axis=1, initial=0.0)
+
+    def integers(self, row: int) -> list[int]:
+        if self.raw is None:
+            return [int(v) for v in self.floors[row].tolist()]
+        return [int(v) * self.scale if abs(v) >= 2.0**53 else int(np.floor(v * self.scale)) for v in self.raw[row].tolist()]
+
+
+def _scores(q: _Side, r: _Side) -> np.ndarray:
+    """Exact integer inner products, cut to the range of a long."""
+    dim = q.floors.shape[1]
+    if float(q.most.max(initial=0)) * float(r.most.max(initial=0)) * dim < 2.0**53:
+        return (q.floors @ r.floors.T).astype(np.int64)
+    with np.errstate(all="ignore"):
+        close = q.floors @ r.floors.T
+        bound = q.most[:, None] * r.most[None, :] * dim
+        easy = bound < 2.0**53
+        out = np.where(easy, close, 0).astype(np.int64)
+        rows, cols = np.flatnonzero(~easy.all(axis=1)), np.flatnonzero(~easy.all(axis=0))
+        close, bound = close[np.ix_(rows, cols)], bound[np.ix_(rows, cols)]
+        error = bound * 2.0**-40  # more than all roundings of up to 2**12 products
+        longs = lambda x: np.where(np.abs(x) < 2.0**62, x, 0).astype(np.int64)
+        wrapped = longs(q.floors[rows]) @ longs(r.floors[cols]).T  # right modulo 2**64
+        fits = (q.most[rows, None] < 2.0**62) & (r.most[None, cols] < 2.0**62) & (np.abs(close) + error < 2.0**63)
+        beyond = np.isfinite(close) & np.isfinite(error) & (np.abs(close) - error >= 2.0**63)
+        edge = np.where(close > 0, np.iinfo(np.int64).max, np.iinfo(np.int64).min)
+    hard = np.where(fits, wrapped, np.where(beyond, edge, 0))
+    cache: dict[tuple[int, int], list[int]] = {}
+    for i, j in zip(*(x.tolist() for x in np.nonzero(~fits & ~beyond)), strict=True):
+        for key, side, row in (((0, i), q, rows[i]), ((1, j), r, cols[j])):
+            if key not in cache:
+                cache[key] = side.integers(row)
+        exact = sum(a * b for a, b in zip(cache[0, i], cache[1, j], strict=True))
+        hard[i, j] = max(np.iinfo(np.int64).min, min(np.iinfo(np.int64).max, exact))
+    out[np.ix_(rows, cols)] = np.where(easy[np.ix_(rows, cols)], out[np.ix_(rows, cols)], hard)
+    return out
+
+
+def _pair_inputs(batch: pa.RecordBatch, scale: int) -> Iterator[tuple]:
     for row in batch.to_pylist():
         dim = row["dim"]
-        load = lambda b, small: np.frombuffer(b, np.int16 if small else np.int64).astype(np.int64).reshape(-1, dim)
-        longs = {c: np.frombuffer(row[c], np.int64) for c in ("q_ids", "ids", *_STATE)}
         if dim == 0:
             continue
-        yield longs, _scores(load(row["q_body"], row["q_small"]), load(row["body"], row["small"]))
-
-
-def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[tuple[np.ndarray, ...]] = []
-        for x, scores in _pair_inputs(batch):
-            for i, q in enumerate(x["q_ids"].tolist()):
-                s, need = scores[i], int(x["need"][i])
-                s_lo, s_hi, i_lo, i_hi = (int(x[c][i]) for c in _STATE[:4])
-                ok = (s >= s_lo) & (s <= s_hi) & (x["ids"] != q)
-                if s_lo < s_hi:
-                    bins = (s_hi - s[ok]) // -(-(s_hi - s_lo + 1) // BINS)
-                else:
-                    own = x["ids"][ok]
-                    own = own[(own >= i_lo) & (own <= i_hi)]
-                    bins = (own - i_lo) // -(-(i_hi - i_lo + 1) // BINS)
-                found, counts = np.unique(bins, return_counts=True)
-                enough = int(np.searchsorted(np.cumsum(counts), need)) + 1  # the k-th best overall is no worse than here
-                out.append((np.full(len(found[:enough]), q), found[:enough], counts[:enough]))
-        columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "bin", "n"])
-
-
-def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[tuple[np.ndarray, ...]] = []
-        for x, scores in _pair_inputs(batch):
-            for i, q in enumerate(x["q_ids"].tolist()):
-                s = scores[i]
-                good = (s > int(x["s_hi"][i])) | ((s >= int(x["s_lo"][i])) & (x["ids"] <= int(x["i_hi"][i])))
-                good = np.flatnonzero(good & (x["ids"] != q))
-                out.append((np.full(len(good), q), x["ids"][good], s[good]))
-        columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+        longs = {c: np.frombuffer(row[c], np.int64) for c in ("q_ids", "ids", *_STATE)}
+        yield longs, _scores(_Side(row["q_body"], row["q_small"], dim, scale), _Side(row["body"], row["small"], dim, scale))
+
+
+def _bins(values: np.ndarray, lo: int, hi: int, down: bool) -> tuple[np.ndarray, ...]:
+    """(bin, smallest, largest value of the bin, count) of the bins that have values, from hi down or from lo up.
+
+    Differences are taken modulo 2**64, so any two longs may be the ends.
+    """
+    width = np.uint64(-(-(hi - lo + 1) // BINS))
+    away = (np.int64(hi) - values if down else values - np.int64(lo)).view(np.uint64)
+    found, counts = np.unique(away // width, return_counts=True)
+    first = found * width
+    last = np.minimum(first + (width - np.uint64(1)), np.uint64(hi - lo))
+    last = np.where(last < first, np.uint64(hi - lo), last)
+    ends = [(np.uint64(hi % 2**64) - x if down else np.uint64(lo % 2**64) + x).view(np.int64) for x in (first, last)]
+    return found.view(np.int64), ends[down], ends[not down], counts
+
+
+def _histograms(scale: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            for x, scores in _pair_inputs(batch, scale):
+                for i, q in enumerate(x["q_ids"].tolist()):
+                    s, need = scores[i], int(x["need"][i])
+                    s_lo, s_hi, i_lo, i_hi = (int(x[c][i]) for c in _STATE[:4])
+                    ok = (s >= s_lo) & (s <= s_hi) & (x["ids"] != q)
+                    if s_lo < s_hi:
+                        found, low, high, counts = _bins(s[ok], s_lo, s_hi, True)
+                    else:
+                        own = x["ids"][ok]
+                        found, low, high, counts = _bins(own[(own >= i_lo) & (own <= i_hi)], i_lo, i_hi, False)
+                    n = int(np.searchsorted(np.cumsum(counts), need)) + 1  # the k-th best overall is no worse than here
+                    out.append((np.full(len(found[:n]), q), found[:n], low[:n], high[:n], counts[:n]))
+            columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "bin", "low", "high", "n"])
+
+    return run
+
+
+def _survivors(scale: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            for x, scores in _pair_inputs(batch, scale):
+                for i, q in enumerate(x["q_ids"].tolist()):
+                    s = scores[i]
+                    good = (s > int(x["s_hi"][i])) | ((s >= int(x["s_lo"][i])) & (x["ids"] <= int(x["i_hi"][i])))
+                    good = np.flatnonzero(good & (x["ids"] != q))
+                    out.append((np.full(len(good), q), x["ids"][good], s[good]))
+            columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def exact_top_k(
@@ -117,20 +178,23 @@ def exact_top_k(
     """(query_id, rank from 1, vec_id, score): the k best rows for each query, ties to the smaller id.
 
     Queries: rows whose id is divisible by ``every``.  Candidates: all rows but those with the query's id.  Score:
-    integer inner product of floor(scale * x).  Rows with a null id, a null vector, or a null or non-finite component
+    integer inner product of floor(scale * x), or the nearest long to it.  Rows with a null id, a null vector, or a null or non-finite component
     take no part; vectors of different lengths are not compared, and empty ones give nothing.  Fewer candidates than k
     are all returned.  Of rows that repeat a query's id, one (the smallest vector) is the query; as candidates each
     row counts.
     """
     spark = df.sparkSession
-    vectors = quantized(df, id_col, vector_col, scale)
-    rows = stored(vectors.mapInArrow(_blocks(row_block, []), "block long, dim int, small boolean, body binary, ids binary"), "rows")
+    vectors = usable(df, id_col, vector_col)
+    rows = stored(vectors.mapInArrow(_blocks(row_block, [], scale), "block long, dim int, small boolean, body binary, ids binary"), "rows")
     largest = F.array_max(F.transform("vec", lambda v: F.abs(v)))
     limits = vectors.agg(F.max(largest).alias("top"), F.min("id").alias("a"), F.max("id").alias("b")).first()
-    top, first_id, last_id = limits["top"] or 0, limits["a"] or 0, limits["b"] or 0
-    reach = F.aggregate("vec", F.lit(0).cast("long"), lambda s, v: s + F.abs(v)) * F.lit(top)
+    top, first_id, last_id = limits["top"] or 0.0, limits["a"] or 0, limits["b"] or 0
+    # A bound of every score, rounded up; the whole range of a long where it is beyond.
+    reach = F.aggregate("vec", F.lit(0.0), lambda s, v: s + F.abs(v) * scale + 1) * F.lit(top * scale + 1) * F.lit(1 + 1e-9) + 1
+    wide, near = reach >= 9e18, F.least(reach, F.lit(9e18)).cast("long")
+    s_lo, s_hi = F.when(wide, F.lit(-(2**63))).otherwise(-near), F.when(wide, F.lit(2**63 - 1)).otherwise(near)
     queries = vectors.filter(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("dim", "vec")).alias("v"))
-    queries = queries.select("id", "v.dim", "v.vec").select("*", (-reach).alias("s_lo"), reach.alias("s_hi"), F.lit(first_id).cast("long").alias("i_lo"), F.lit(last_id).cast("long").alias("i_hi"), F.lit(k).cast("long").alias("need"))
+    queries = queries.select("id", "v.dim", "v.vec").select("*", s_lo.alias("s_lo"), s_hi.alias("s_hi"), F.lit(first_id).cast("long").alias("i_lo"), F.lit(last_id).cast("long").alias("i_hi"), F.lit(k).cast("long").alias("need"))
     queries = stored(queries, "queries")
     groups = 4 * partitions(spark)
     placed = rows.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)))
@@ -140,25 +204,22 @@ def exact_top_k(
 
     def meet(open_queries: DataFrame) -> DataFrame:
         schema = "block long, dim int, small boolean, body binary, ids binary, " + ", ".join(f"{c} binary" for c in _STATE)
-        packed = open_queries.mapInArrow(_blocks(query_block, _STATE), schema)
+        packed = open_queries.mapInArrow(_blocks(query_block, _STATE, scale), schema)
         sides = packed.select("dim", F.col("small").alias("q_small"), F.col("body").alias("q_body"), F.col("ids").alias("q_ids"), *_STATE, F.explode(F.array(*[F.lit(g).cast("long") for g in used])).alias("g"))
         return sides.join(placed.select("g", "dim", "small", "body", "ids"), ["g", "dim"])
 
     pending, done = queries, None
     while True:
-        counts = meet(pending).mapInArrow(_histograms, "query_id long, bin long, n long").groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
+        counts = meet(pending).mapInArrow(_histograms(scale), "query_id long, bin long, low long, high long, n long")
+        counts = counts.groupBy("query_id", "bin").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
         best_first = Window.partitionBy("query_id").orderBy("bin")
         counts = counts.select("*", F.sum("n").over(best_first).alias("upto"))
         met = counts.join(pending.select(F.col("id").alias("query_id"), *_STATE), "query_id").filter("upto >= need")
-        met = met.groupBy("query_id").agg(F.min(F.struct("bin", "n", "upto")).alias("hit"))
+        met = met.groupBy("query_id").agg(F.min(F.struct("bin", "n", "upto", "low", "high")).alias("hit"))
         after = pending.join(met.withColumnRenamed("query_id", "id"), "id", "left")
         by_score = F.col("s_lo") < F.col("s_hi")
-        s_width = F.ceil((F.col("s_hi") - F.col("s_lo") + 1) / F.lit(BINS)).cast("long")
-        i_width = F.ceil((F.col("i_hi") - F.col("i_lo") + 1) / F.lit(BINS)).cast("long")
-        s_hi = F.when(by_score, F.col("s_hi") - F.col("hit.bin") * s_width).otherwise(F.col("s_hi"))
-        s_lo = F.when(by_score, F.greatest(s_hi - s_width + 1, F.col("s_lo"))).otherwise(F.col("s_lo"))
-        i_lo = F.when(by_score, F.col("i_lo")).otherwise(F.col("i_lo") + F.col("hit.bin") * i_width)
-        i_hi = F.when(by_score, F.col("i_hi")).otherwise(F.least(i_lo + i_width - 1, F.col("i_hi")))
+        s_lo, s_hi = (F.when(by_score, F.col(f"hit.{end}")).otherwise(F.col(c)) for end, c in (("low", "s_lo"), ("high", "s_hi")))
+        i_lo, i_hi = (F.when(by_score, F.col(c)).otherwise(F.col(f"hit.{end}")) for end, c in (("low", "i_lo"), ("high", "i_hi")))
         short = F.col("hit").isNull()  # fewer rows than wanted: all of the interval count
         new = {"s_lo": s_lo, "s_hi": s_hi, "i_lo": i_lo, "i_hi": i_hi, "need": F.col("need") - (F.col("hit.upto") - F.col("hit.n"))}
         narrow = short | (F.col("hit.n") <= SLACK + F.col("need")) | ((s_lo == s_hi) & (i_lo == i_hi))
@@ -170,5 +231,5 @@ def exact_top_k(
         if pending.isEmpty():
             break
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    kept = meet(done).mapInArrow(_survivors, "query_id long, vec_id long, score long")
+    kept = meet(done).mapInArrow(_survivors(scale), "query_id long, vec_id long, score long")
     return kept.select("query_id", F.row_number().over(ranked).alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
