@@ -6,11 +6,13 @@ words, until one of them is integral; so every trade keeps the words that the so
 document keeps its own expectation.  What is left of a group of documents is one fractional document; the leftovers
 of a source meet in further groups, level by level, down to one last document that is rounded by chance.  So a
 source's words miss the target by less than the size of one of its documents.
+
+Rows that are equal are one unit of up to ``PIECE`` documents, whose common probability mass has a whole part of its
+own: so a row that repeats without end fills no group.
 """
 
 from __future__ import annotations
 
-
 from collections.abc import Callable
 
 import numpy as np
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from .shared import stored
 from .words import U64, mix
 
-#: Draws of a source's last rounding.
-TRIES = 32
+#: Equal rows in one unit.
+PIECE = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -80,23 +82,13 @@ def _round(p: np.ndarray, size: np.ndarray, key: np.ndarray, level: int) -> tupl
 
 
 def _trade(group: pd.DataFrame, level: int, last: bool) -> pd.DataFrame:
-    """Round all documents of a group but one; the last group of a source is rounded whole.
-
-    That last rounding is the only step that changes the source's words.  So it is drawn ``TRIES`` times, and the
-    draw that misses by the fewest words counts; it matters for sources of a few documents.
-    """
+    """Round all units of a group but one; that of the last group of a source is rounded by chance."""
     group = group.sort_values(["size", "key", "p"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
     p, size, key = group["p"].to_numpy(float), group["size"].to_numpy(float), group["key"].to_numpy(np.int64)
-    best, miss = p, np.inf
-    for draw in range(TRIES if last else 1):
-        rounded, held = _round(p, size, key, level + 1000 * draw)
-        off = 0.0
-        if last and held >= 0:
-            up = float(_chance(level + 1000 * draw + 500, key[held : held + 1], key[held : held + 1])[0] < rounded[held])
-            off, rounded[held] = abs(up - rounded[held]) * size[held], up
-        if off < miss:
-            best, miss = rounded, off
-    return group.assign(p=best)
+    p, held = _round(p, size, key, level)
+    if last and held >= 0:
+        p[held] = float(_chance(level + 500, key[held : held + 1], key[held : held + 1])[0] < p[held])
+    return group.assign(p=p)
 
 
 def mix_sources(
@@ -110,17 +102,20 @@ def mix_sources(
     most: float = 2.0,
     group_rows: int = 4096,
     fan_in: int = 64,
+    seed: int = 0,
 ) -> DataFrame:
     """One row per row of df: ``id_col``, ``source_col``, ``text_key`` (hash of the text), ``size`` (words),
     ``source_size``, ``target`` (its source's), ``copies`` and ``taken`` (copies * size).
 
-    The choice depends on ids, texts and sources only, so reruns agree.  Null sources are one source, the last by
+    The choice depends on ids, texts, sources and ``seed`` only, so reruns agree; over all seeds a document is taken
+    target / source_size times on average.  Null sources are one source, the last by
     order.  Null or empty texts have size 0 and give nothing.  Rows that repeat are rounded as separate documents.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(text_col)).alias("text_key"), size.alias("size"))
-    docs = stored(docs, "mix-sizes")
-    sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("n"))
+    units = docs.groupBy("id", "source", "text_key", "size").agg(F.count("*").alias("n"))
+    units = stored(units, "mix-sizes")
+    sums = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.ceil(F.col("n") / PIECE)).otherwise(0)).alias("n"))
     sums = stored(sums, "mix-sources")
     targets = source_targets(sums.select("source", "source_size"), factor, weights, most)
     planned = sums.join(targets.drop("source_size"), sums["source"].eqNullSafe(targets["source"])).drop(targets["source"])
@@ -128,11 +123,16 @@ def mix_sources(
     planned = stored(planned.select(F.col("source").alias("s"), "source_size", "target", groups.alias("groups")), "mix-targets")
     most_groups = planned.agg(F.max("groups").alias("m")).first()["m"] or 1
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = docs.join(planned, docs["source"].eqNullSafe(planned["s"]))
+    pieces = units.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / PIECE).cast("int"))).alias("piece"))
+    pieces = pieces.select("id", "source", "text_key", "size", "piece", F.least(F.lit(PIECE), F.col("n") - F.col("piece") * PIECE).cast("long").alias("m"))
+    rows = pieces.join(planned, pieces["source"].eqNullSafe(planned["s"]))
+    tiny = F.lit(1e-9)
     whole = F.floor(rate + F.lit(1e-12))
-    part = F.when(F.col("size") > 0, F.greatest(rate - whole, F.lit(0.0))).otherwise(F.lit(0.0))
-    key = F.xxhash64("id", "text_key", "source")
-    rows = rows.select("id", "source", "text_key", "size", "source_size", "target", whole.cast("long").alias("whole"), part.alias("p"), key.alias("key"), F.pmod(key, F.col("groups")).alias("bucket"))
+    mass = F.when(F.col("size") > 0, F.greatest(rate - whole, F.lit(0.0))).otherwise(F.lit(0.0)) * F.col("m")
+    extra = F.floor(mass + tiny)
+    part = F.when(mass - extra > tiny, mass - extra).otherwise(F.lit(0.0))
+    key = F.xxhash64(F.lit(seed), "id", "text_key", "source", "piece")
+    rows = rows.select("id", "source", "text_key", "size", "m", "source_size", "target", whole.cast("long").alias("whole"), extra.cast("long").alias("extra"), part.alias("p"), key.alias("key"), F.pmod(key, F.col("groups")).alias("bucket"))
     rows = stored(rows, "mix-rows")
     schema = rows.schema
     settled = [rows.filter("p <= 0 or p >= 1")]
@@ -151,5 +151,6 @@ def mix_sources(
     out = settled[0]
     for x in settled[1:]:
         out = out.unionByName(x)
-    copies = F.col("whole") + F.col("p").cast("long")
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "text_key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    each = out.select("*", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))).alias("nth"))
+    copies = F.col("whole") + F.when(F.col("nth") <= F.col("extra"), 1).when(F.col("nth") == F.col("extra") + 1, F.col("p").cast("long")).otherwise(0)
+    return each.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "text_key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
