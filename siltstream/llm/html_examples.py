@@ -21,8 +21,9 @@ _PLAIN = ["inner", "row", "col", "box", "block", "group", "item", "wrap", "body"
 
 
 class _Page:
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, nameless: float):
         self.r = random.Random(seed)
+        self.nameless = self.r.random() < nameless
 
     def words(self, a: int, b: int) -> str:
         words = ["".join(self.r.choices(_SYLLABLES, k=self.r.randint(1, 3))) for _ in range(self.r.randint(a, b))]
@@ -44,10 +45,20 @@ class _Page:
     def name(self, names: list[str]) -> str:
         """A class or id from the list, often beside a word that tells nothing."""
         r, name = self.r, self.r.choice(names)
+        if self.nameless:
+            name = "".join(r.choices(_SYLLABLES, k=3))
         other = "".join(r.choices("bcdfgklmnprstvz", k=2)) + r.choice(_SYLLABLES)
         name = r.choice([name, name, name, f"{name}-{other}", f"{other}-{name}", f"{other} {name}", f"{name} {other}"])
         return f'{r.choice(["class", "class", "id"])}="{name}"'
 
+    def leaf(self) -> str:
+        """Sometimes a name for a block of the main text, which may hold a telling word among others."""
+        x = self.r.random()
+        if x < 0.85:
+            return ""
+        word = self.r.choice(_MENU + _HEAD + _FOOT + _SIDE + _NOTICE + _ADVERT + _COMMENT) if x > 0.93 else self.words(1, 1)
+        return f' class="{word}-{self.words(1, 1)}"'
+
     def wrapped(self, inside: str) -> str:
         """Sometimes inside a further element that tells nothing."""
         x = self.r.random()
@@ -104,9 +115,9 @@ class _Page:
         for _ in range(r.randint(1, 8)):
             x = r.random() * 1.25
             if x < 0.55:
-                parts.append(f"<p data-main>{self.prose()}" + r.choice(["</p>", "</p>", "<br>"]))
+                parts.append(f"<p{self.leaf()} data-main>{self.prose()}" + r.choice(["</p>", "</p>", "<br>"]))
             elif x < 0.63:
-                parts.append(f"<h2 data-main>{self.words(1, 6)}</h2>")
+                parts.append(f"<h2{self.leaf()} data-main>{self.words(1, 6)}</h2>")
             elif x < 0.70:
                 parts.append("<ul data-main>" + "".join(f"<li>{self.prose()}</li>" for _ in range(r.randint(1, 4))) + "</ul>")
             elif x < 0.75:
@@ -130,8 +141,9 @@ class _Page:
         if r.random() < 0.3:
             parts.append(r.choice([self.comments, self.comments, self.footer, self.menu])())
         inside = "".join(parts)
-        shape = r.choice(["<article>{}</article>", "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", f"<div {self.name(_CONTENT)}>{{}}</div>", f"<div {self.name(_CONTENT)}>{{}}</div>", f"<div {self.name(_CONTENT)}>{{}}</div>", f"<article {self.name(_CONTENT)}>{{}}</article>", f"<main><div {self.name(_CONTENT)}>{{}}</div></main>", '<div role="main">{}</div>', f"<section {self.name(_CONTENT)}>{{}}</section>", "{}", "<div>{}</div>"])
-        return shape.format(inside)
+        inner = r.choice(["<article>{}</article>"] * 3 + [f"<article {self.name(_CONTENT)}>{{}}</article>", f"<section {self.name(_CONTENT)}>{{}}</section>", "<div>{}</div>", "{}"] + [f"<div {self.name(_CONTENT)}>{{}}</div>"] * 3)
+        outer = r.choice(["<main>{}</main>", '<div role="main">{}</div>', f"<div {self.name(_CONTENT)}>{{}}</div>"] + ["{}"] * 4)
+        return outer.format(inner.format(inside))
 
     def page(self) -> str:
         r = self.r
@@ -146,5 +158,6 @@ class _Page:
         return f"<html><head><title>{self.words(2, 6)}</title></head><body>{inside}</body></html>"
 
 
-def labelled_pages(n: int = 2000, seed: int = 5) -> list[str]:
-    return [_Page(seed * 1_000_003 + i).page() for i in range(n)]
+def labelled_pages(n: int = 2000, seed: int = 5, nameless: float = 0.0) -> list[str]:
+    """nameless: share of the pages on which no class or id tells anything; what is left are tags, text and order."""
+    return [_Page(seed * 1_000_003 + i, nameless).page() for i in range(n)]
