@@ -42,13 +42,16 @@ def revisits(pages: DataFrame, least_bytes: int = 100) -> DataFrame:
 
 
 def write_warc(
-    df: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100, captures_a_file: int = 1000, date: str = "2025-01-01T00:00:00Z"
+    df: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100, captures_a_file: int = 1000, file_bytes: int = 64 << 20, date: str = "2025-01-01T00:00:00Z"
 ) -> None:
     """Write three records per row of df.  Payload: the html in UTF-8, empty for null.
 
     Of rows with equal payloads of at least ``least_bytes`` bytes, that with the smallest id is a response and the
     others revisit it without a payload of their own.  Rows with a null id are always responses; rows that repeat the
     smallest id are so too.  A null url leaves its header out; line ends in a url are escaped.
+
+    An archive holds at most ``captures_a_file`` captures and about ``file_bytes`` bytes of payload (a larger page has a
+    file of its own): pages are written by classes of doubling size, and each class has so many captures a file.
     """
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     pages = pages.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2(F.encode("html", "utf-8"), 256))
@@ -80,27 +83,58 @@ def write_warc(
         record(F.when(is_revisit, F.lit("revisit")).otherwise(F.lit("response")), response_id, "application/http; msgtype=response", response_block, concurrent, digest, refers),
         record(F.lit("metadata"), F.concat(F.lit("<urn:uuid:metadata-"), F.col("u"), F.lit(">")), "application/warc-fields", fields, concurrent),
     )
-    lines = full.select(F.explode(records).alias("value"))
-    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures_a_file).text(path)
+    doublings = F.greatest(F.ceil(F.log2(F.col("payload_bytes") * captures_a_file / file_bytes)), F.lit(0)).cast("int")
+    size_class = F.least(F.coalesce(doublings, F.lit(0)), F.lit(captures_a_file.bit_length()))
+    present = [r["c"] for r in pages.select(size_class.alias("c")).distinct().collect()]  # at most a few dozen numbers
+    for c in sorted(present) or [0]:
+        lines = full.filter(size_class == c).select(F.explode(records).alias("value"))
+        captures = max(1, captures_a_file >> c)
+        lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * captures).text(f"{path}/size-{c}")
+
+
+def _inflated(raw: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of gzip members one after the other, a little at a time."""
+    at, member = 0, zlib.decompressobj(31)
+    while at < len(raw):
+        rest = raw[at : at + step]
+        at += len(rest)
+        while rest:
+            yield member.decompress(rest, 16 * step)
+            rest = member.unconsumed_tail
+            if member.eof:
+                rest, member = member.unused_data, zlib.decompressobj(31)
 
 
 def parse_archive(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, block) of each record, by the lengths that the headers give; ``raw`` may be gzip, of many members."""
-    if raw[:2] == b"\x1f\x8b":
-        out, rest = [], raw
-        while rest:
-            member = zlib.decompressobj(31)
-            out.append(member.decompress(rest))
-            rest = member.unused_data
-        raw = b"".join(out)
-    at = raw.find(b"WARC/")
-    while at >= 0:
-        stop = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:stop].decode("utf-8").split("\r\n")[1:]
+    """(header, block) of each record, by the lengths that the headers give; ``raw`` may be gzip, of many members.
+
+    A record that is cut off by the end of the file is left out.
+    """
+    source = _inflated(raw) if raw[:2] == b"\x1f\x8b" else iter((raw,))
+    held = bytearray()
+
+    def find(what: bytes, begin: int) -> int:
+        while (at := held.find(what, begin)) < 0:
+            begin = max(begin, len(held) - len(what) + 1)
+            if (more := next(source, None)) is None:
+                return -1
+            held.extend(more)
+        return at
+
+    while (at := find(b"WARC/", 0)) >= 0:
+        del held[:at]
+        stop = find(b"\r\n\r\n", 0)
+        if stop < 0:
+            return
+        lines = held[:stop].decode("utf-8").split("\r\n")[1:]
         head = {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
-        size = int(head["content-length"])
-        yield head, raw[stop + 4 : stop + 4 + size]
-        at = raw.find(b"WARC/", stop + 4 + size)
+        end = stop + 4 + int(head["content-length"])
+        while len(held) < end:
+            if (more := next(source, None)) is None:
+                return
+            held.extend(more)
+        yield head, bytes(held[stop + 4 : end])
+        del held[:end]
 
 
 def _record(head: dict[str, str], block: bytes, with_payload: bool) -> tuple:
@@ -122,16 +156,25 @@ def read_warc(spark: SparkSession, path: str, *, with_payload: bool = True) -> D
     ``payload_digest`` is computed from the payload that was read; of a revisit, which has none, length and digest
     are those that its headers state of the full payload.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
+    names = [x.split()[0] for x in RECORDS.split(", ")]
+    types = [pa.string()] * 5 + [pa.int64(), pa.int64(), pa.string(), pa.binary()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORDS.split(", ")]
-        types = [pa.string()] * 5 + [pa.int64(), pa.int64(), pa.string(), pa.binary()]
         for batch in batches:
             for content in batch.column("content"):
-                rows = [_record(head, block, with_payload) for head, block in parse_archive(content.as_py())]
-                columns = zip(*rows, strict=True) if rows else [[] for _ in names]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names)
+                rows, size = [], 0
+                for head, block in parse_archive(content.as_py()):
+                    rows.append(_record(head, block, with_payload))
+                    size += len(block) if with_payload else 0
+                    if size > 8 << 20 or len(rows) == 4096:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                yield batch_of(rows)
 
     return files.mapInArrow(run, RECORDS)
 
@@ -139,13 +182,16 @@ def read_warc(spark: SparkSession, path: str, *, with_payload: bool = True) -> D
 def transactions(records: DataFrame) -> DataFrame:
     """One row per response or revisit: its page_id and uri, and the nested request, capture and metadata records.
 
-    Records are joined by the request that they name in concurrent_to; a missing request or metadata is null.
+    Records are joined by the request that they name in concurrent_to; a missing request or metadata is null, and of
+    several with the same id the largest counts.  Archives are parsed once, into a table.
     """
+    records = stored(records, "records")
+    fields = F.struct("record_type", "record_id", "refers_to", "target_uri", "page_id", "payload_bytes", "payload_digest", "payload")
 
-    def part(kind: str, key: str) -> DataFrame:
-        own = records.filter(F.col("record_type").isin(*kind.split("|")))
-        return own.select(F.col(key).alias("request_id"), F.struct("record_type", "record_id", "refers_to", "target_uri", "page_id", "payload_bytes", "payload_digest", "payload").alias(kind.split("|")[0]))
+    def one(kind: str, key: str) -> DataFrame:
+        own = records.filter((F.col("record_type") == kind) & F.col(key).isNotNull())
+        return own.groupBy(F.col(key).alias("request_id")).agg(F.max(fields).alias(kind))
 
-    captures = part("response|revisit", "concurrent_to")
-    joined = captures.join(part("request", "record_id"), "request_id", "left").join(part("metadata", "concurrent_to"), "request_id", "left")
-    return joined.select(F.col("response.page_id").alias("page_id"), F.col("response.target_uri").alias("target_uri"), "request", F.col("response").alias("capture"), "metadata")
+    captures = records.filter(F.col("record_type").isin("response", "revisit")).select(F.col("concurrent_to").alias("request_id"), fields.alias("capture"))
+    joined = captures.join(one("request", "record_id"), "request_id", "left").join(one("metadata", "concurrent_to"), "request_id", "left")
+    return joined.select(F.col("capture.page_id").alias("page_id"), F.col("capture.target_uri").alias("target_uri"), "request", "capture", "metadata")
