@@ -10,7 +10,7 @@ sets of both texts.  One star would lose members that are similar to each other
 members of a bucket lie in several components after the stars, those of different components are compared by a finer
 sketch, in blocks of about 256 x 256: two bits of each of 2,048 bins estimate J with a deviation of 0.012.  Only pairs
 less than 4 deviations below the threshold (one at the threshold is missed with probability 3e-5) become candidates:
-first one for each member, then, in the components that this leaves, all of them.
+first one for each member, then, in the buckets that this leaves in several components, all of them.
 """
 
 from __future__ import annotations
@@ -135,34 +135,42 @@ def sketch_table(df: DataFrame, text_col: str, shingle: int, bands: int, rows: i
     return df.mapInArrow(run, "id long, n long, s1 long, s2 long, keys array<long>")
 
 
+#: Pairs with the same first document in one group of ``confirm``.
+STAR = 256
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, chunk_bytes: int) -> DataFrame:
-    """Those of pairs (a, b) whose shingle sets have 100 * intersection >= percent * union."""
+    """Those of pairs (a, b) whose shingle sets have 100 * intersection >= percent * union.
+
+    The pairs of one a are dealt out into groups of about ``STAR``; a group gets the text of a once, then those of its b.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, centre_set = None, np.zeros(0, U64)
+        centre = np.zeros(0, U64)
         for batch in batches:
-            for piece in pieces(batch, "text_b", chunk_bytes, 1 << ROW_BITS):
-                keys = shingle_keys(find_words(piece.column("text_b"), SPACED_LOWER), shingle)
+            for piece in pieces(batch, "text", chunk_bytes, 1 << ROW_BITS):
+                keys = shingle_keys(find_words(piece.column("text"), SPACED_LOWER), shingle)
                 edges = np.searchsorted(keys, np.arange(piece.num_rows + 1, dtype=U64) << U64(HASH_BITS))
+                edges[-1] = len(keys)
                 values = keys & U64((1 << HASH_BITS) - 1)
-                text_a, good = piece.column("text_a"), np.zeros(piece.num_rows, bool)
+                first, good = piece.column("b").is_null().to_pylist(), np.zeros(piece.num_rows, bool)
                 for i in range(piece.num_rows):
-                    text = text_a[i].as_py()
-                    if centre != text:
-                        own = shingle_keys(find_words(pa.array([text], pa.large_string()), SPACED_LOWER), shingle)
-                        centre, centre_set = text, own & U64((1 << HASH_BITS) - 1)
                     mine = values[edges[i] : edges[i + 1]]
-                    if not len(mine) or not len(centre_set):
-                        continue
-                    spots = np.minimum(np.searchsorted(centre_set, mine), len(centre_set) - 1)
-                    both = int((centre_set[spots] == mine).sum())
-                    good[i] = 100 * both >= percent * (len(mine) + len(centre_set) - both)
+                    if first[i]:
+                        centre = mine
+                    elif len(mine) and len(centre):
+                        spots = np.minimum(np.searchsorted(centre, mine), len(centre) - 1)
+                        both = int((centre[spots] == mine).sum())
+                        good[i] = 100 * both >= percent * (len(mine) + len(centre) - both)
                 flags = pa.array(good)
                 yield pa.RecordBatch.from_arrays([piece.column("a").filter(flags), piece.column("b").filter(flags)], ["a", "b"])
 
-    side = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(side, "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).alias("groups"))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("part"))
+    members = dealt.join(texts.withColumnRenamed("id", "b"), "b").select("a", "part", "b", "text")
+    centres = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    ordered = members.union(centres).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 #: Members of a bucket in one block of comparisons.
@@ -324,10 +332,11 @@ def near_duplicates(
         joined = rows.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
         return joined.select(*rows.columns, F.coalesce("root", "rep").alias("root"))
 
-    marked = stored(with_roots(members.select("key", "rep", "n")), "marked")
-    still_open = marked.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"))
-    still_open = stored(still_open.filter("x <> y").select("key", "size"), "open")
-    left = stored(marked.drop("root").join(still_open, "key"), "left")
+    def still_open(rows: DataFrame) -> DataFrame:
+        ends = with_roots(rows.select("key", "rep", "n")).groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size"))
+        return stored(ends.filter("x <> y").select("key", "size"), "open")
+
+    left = stored(members.select("key", "rep", "n").join(still_open(members), "key"), "left")
     needed = texts.join(left.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     bits = fine_sketches(needed, shingle, fine_bins, chunk_bytes)
     dealt = stored(deal_members(left.join(bits, "rep")), "dealt")
@@ -335,7 +344,8 @@ def near_duplicates(
     most = math.ceil(fine_bins * share + deviations * math.sqrt(fine_bins * share * (1 - share)))
     # First one partner for each member, which joins most of what belongs together; then all that are left.
     for one in (True, False):
-        candidates = compare_members(with_roots(dealt), percent, most, one)
+        current = dealt if one else dealt.join(still_open(dealt).select("key"), "key", "left_semi")
+        candidates = compare_members(with_roots(current), percent, most, one)
         more = stored(candidates.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = stored(confirm(more, texts, shingle, percent, chunk_bytes), "links")
         tested = tested.union(more)
