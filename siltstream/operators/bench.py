@@ -71,6 +71,6 @@ def append_history(history: DataFrame, row: DataFrame) -> DataFrame:
 
 def sweep_median(trials: DataFrame, cores: int) -> DataFrame:
     """Upper median, least and most of the trials of each agent count, and its ratio to the cores."""
-    sorted_ = F.array_sort(F.collect_list("rps"))
-    out = trials.groupBy("agents").agg(F.element_at(sorted_, F.expr("count(*) div 2 + 1").cast("int")).alias("median_rps"), F.min("rps").alias("min_rps"), F.max("rps").alias("max_rps"))
+    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY rps DESC)").cast(trials.schema["rps"].dataType)
+    out = trials.groupBy("agents").agg(upper.alias("median_rps"), F.min("rps").alias("min_rps"), F.max("rps").alias("max_rps"))
     return out.select("*", (F.col("agents") / F.lit(float(cores))).alias("agents_per_core"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,31 +86,55 @@ def stranded_to_resume(unconfirmed: DataFrame, pending: DataFrame, in_flight: Da
     return unconfirmed.join(busy, ["shard_id", "seg_no"], "left_anti")
 
 
-def batch_bytes(records: Column) -> Column:
-    """Estimate of a dead-letter file with these payload lengths (an array)."""
-    total = F.aggregate(records, F.lit(0).cast("long"), lambda s, n: s + n + RECORD_OVERHEAD)
-    return total + (SEGMENT_HEADER + SENTINEL + FOOTER)
+def batch_bytes(size: Column) -> Column:
+    """Aggregate: bytes of a dead-letter file with payloads of these lengths."""
+    return F.sum(size + RECORD_OVERHEAD) + (SEGMENT_HEADER + SENTINEL + FOOTER)
 
 
 def dead_letter_gate(batches: DataFrame, cap: int) -> DataFrame:
     """batches(stream, seq, bytes): written or blocked, and the total after each.
 
     A batch that would bring the total over the cap blocks, unless it alone exceeds the cap: then it is written, since
-    waiting could never help.  The decision depends on earlier ones, so a stream's batches are one ordered fold; only
-    sequence numbers and sizes of dead-lettered batches take part in it.
+    waiting could never help.  The decision depends on earlier ones, so the sizes of a stream pass one task, but as a
+    sorted stream of which only the running total is kept.
     """
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq")
-        total, decisions, totals = 0, [], []
-        for size in group["bytes"].tolist():
-            write = total + size <= cap or size > cap
-            total += size if write else 0
-            decisions.append("write" if write else "block")
-            totals.append(total)
-        return group.assign(decision=decisions, total=totals)[["stream", "seq", "bytes", "decision", "total"]]
-
-    return batches.select("stream", "seq", F.col("bytes").cast("long").alias("bytes")).groupBy("stream").applyInPandas(fold, "stream long, seq long, bytes long, decision string, total long")
+    def judge(sizes: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+        """(written, total after each) of the next batches of a stream."""
+        written, at, n = np.zeros(len(sizes), bool), 0, len(sizes)
+        level = total
+        while at < n:
+            if level + sizes[at:].min() > cap:  # only what exceeds the cap by itself is written from here on
+                written[at:] = sizes[at:] > cap
+                break
+            sums = level + np.cumsum(sizes[at : at + 4096])
+            stop = int(np.searchsorted(sums, cap, side="right"))
+            written[at : at + stop] = True
+            level = int(sums[stop - 1]) if stop else level
+            at += stop
+            if stop < len(sums):
+                written[at] = sizes[at] > cap
+                level += int(sizes[at]) if written[at] else 0
+                at += 1
+        return written, total + np.cumsum(np.where(written, sizes, 0))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, total = None, 0
+        for batch in batches:
+            streams, sizes = batch.column("stream").to_numpy(), batch.column("bytes").to_numpy()
+            cuts = [0, *(np.flatnonzero(streams[1:] != streams[:-1]) + 1).tolist(), len(streams)]
+            written, totals = np.zeros(len(sizes), bool), np.zeros(len(sizes), np.int64)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if streams[a] != stream:
+                    stream, total = streams[a], 0
+                written[a:b], totals[a:b] = judge(sizes[a:b], total)
+                total = int(totals[b - 1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.where(written, "write", "block")), pa.array(totals)], ["stream", "seq", "bytes", "decision", "total"])
+
+    rows = batches.select(F.col("stream").cast("long").alias("stream"), F.col("seq").cast("long").alias("seq"), F.col("bytes").cast("long").alias("bytes"))
+    return rows.repartition("stream").sortWithinPartitions("stream", "seq").mapInArrow(fold, "stream long, seq long, bytes long, decision string, total long")
 
 
 def block_episodes(states: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ _SEG = f"WITH RECURSIVE {B.SEGMENTS}"
 
 @query("segment_rotate", f"{_SEG} SELECT shard_id, seq, CAST(seg_no AS BIGINT) AS seg_no, sealed FROM seg")
 def segment_rotate(spark: SparkSession, sf: str) -> DataFrame:
-    return S.rotate(B.records(spark, sf), B.SEGMENT_BYTES, chunk_records=1000).select("shard_id", "seq", "seg_no", "sealed")
+    return S.rotate(B.records(spark, sf), B.SEGMENT_BYTES).select("shard_id", "seq", "seg_no", "sealed")
 
 
 @query("segment_footer", f"{_SEG} SELECT shard_id, CAST(seg_no AS BIGINT) AS seg_no, count(*) AS record_count, CAST(sum(octet_length(payload)) AS BIGINT) AS data_bytes FROM seg GROUP BY ALL")
@@ -298,8 +298,8 @@ def dead_letter_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("dead_letter_segments", f"WITH {_GATE} SELECT stream, count(*) AS records, CAST(sum(bytes + 8) + 60 AS BIGINT) AS file_bytes, 65535 AS shard_id FROM g WHERE seq % 10 = 3 GROUP BY 1")
 def dead_letter_segments(spark: SparkSession, sf: str) -> DataFrame:
-    bad = _gate_rows(spark, sf).filter("seq % 10 = 3").groupBy("stream").agg(F.count("*").alias("records"), F.collect_list("bytes").alias("sizes"))
-    return bad.select("stream", "records", D.batch_bytes(F.col("sizes")).alias("file_bytes"), F.lit(S.DEAD_LETTER_SHARD).alias("shard_id"))
+    bad = _gate_rows(spark, sf).filter("seq % 10 = 3").groupBy("stream").agg(F.count("*").alias("records"), D.batch_bytes(F.col("bytes")).alias("file_bytes"))
+    return bad.select("stream", "records", "file_bytes", F.lit(S.DEAD_LETTER_SHARD).alias("shard_id"))
 
 
 _STATES = ["draining", "blocked", "retrying", "blocked", "retrying", "blocked", "draining"]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +59,28 @@ def test_any_bytes_scan_without_error():
     for _ in range(500):
         found = W.scan_segment((good if r.random() < 0.7 else b"") + bytes(r.choices(range(4), k=r.randint(0, 60))))
         assert found.verdict and found.fault
+
+
+def test_few_records_can_end_a_large_segment():
+    r = np.random.default_rng(3)
+    sizes = r.integers(100, 272, 3_000_000)
+    sums = np.cumsum(sizes)
+    limit = 256 << 20  # the default of the format; 3 million records are two segments
+    found = S.possible_seals(sums, limit - S.SEGMENT_HEADER, int(sizes.max()))
+    assert 0 < found.sum() < 10
+    ends, last = [], 0
+    while (at := int(np.searchsorted(sums, last + limit - S.SEGMENT_HEADER))) < len(sums):
+        last = int(sums[at])
+        ends.append(at)
+    assert ends and found[ends].all()
+
+
+@pytest.mark.parametrize(("chunk", "top"), [(1, 900), (7, 90_000), (500, 90_000), (200_000, 5)])
+def test_smoothed_latency_over_chunks_equals_one_fold(spark, chunk, top):
+    r = random.Random(chunk)
+    rows = [(s, i * 3 + s, r.randint(0, top)) for s in range(3) for i in range(r.choice([1, 80, 1500]))]
+    want = {}
+    for s, _, x in sorted(rows):
+        want[s] = want.get(s, 77) * 3 // 4 + x // 4
+    out = S.smoothed_sync_latency(spark.createDataFrame(rows, "shard_id long, seq long, sample_us long"), start_us=77, chunk_records=chunk)
+    assert {x.shard_id: x.raw_us for x in out.collect()} == want
