@@ -174,10 +174,10 @@ def path_check(path: Column) -> Column:
 def fmt_bytes(n: Column) -> Column:
     """Bytes in units of 1024, one decimal."""
     out = F.concat(n.cast("string"), F.lit(" B"))
-    for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB"), (4, "TiB")):
+    for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB")):
         out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", n / F.lit(float(1024**power)))).otherwise(out)
     return out
 
 
 def fmt_micros(us: Column) -> Column:
-    return F.when(us >= 1e6, F.format_string("%.1fs", us / 1e6)).when(us >= 1e3, F.format_string("%.1fms", us / 1e3)).otherwise(F.format_string("%.0fµs", us.cast("double")))
+    return F.when(us >= 1e6, F.format_string("%.1f s", us / 1e6)).when(us >= 1e3, F.format_string("%.1f ms", us / 1e3)).otherwise(F.format_string("%.0f µs", us.cast("double")))

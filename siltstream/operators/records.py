@@ -45,9 +45,11 @@ def admit(frames: DataFrame, frame_col: str = "frame", max_payload: int = codec.
     """Add ``nack_reason`` (null = accepted), ``tier`` and ``kind`` to frames.
 
     The daemon reads a header first, so the order differs from decoding a whole buffer: header errors, then the cap,
-    then an empty push, then the payload CRC, then message types that a client must not send.
+    then an empty push, then the payload CRC, then message types that a client must not send.  Frames of which not all
+    bytes that this takes have come are not judged yet and left out.
     """
     data = F.col(frame_col)
+    frames = frames.filter(F.octet_length(data) >= codec.HEADER_BYTES)
     # In steps: each column is computed once, which keeps the generated code small.
     read = frames.select("*", F.struct(codec.le_number(data, 6, 1).alias("kind"), codec.le_number(data, 7, 1).alias("tier"), codec.le_number(data, 9, 4).alias("length")).alias("_h"))
     read = read.select("*", codec.header_verdict(data).alias("_verdict"))
@@ -62,6 +64,8 @@ def admit(frames: DataFrame, frame_col: str = "frame", max_payload: int = codec.
         .when(crc != F.crc32(payload), "bad_payload_crc")
         .when(~kind.isin(push, health), "unknown_message")
     )
+    by_header = (verdict != "ok") | (length > min(max_payload, codec.MAX_PAYLOAD)) | ((length == 0) & (kind == push))
+    read = read.filter(by_header | (F.octet_length(data) >= length + codec.HEADER_BYTES + 4))
     judged = read.select("*", reason.alias("nack_reason"))
     tier = F.when((verdict != "ok") | F.coalesce(F.col("nack_reason") == "unknown_message", F.lit(False)), "sync").otherwise(_tier_name(F.col("_h.tier")))
     return judged.select(*frames.columns, "nack_reason", tier.alias("tier"), F.when(kind == push, "push").when(kind == health, "health_check").alias("kind"))

@@ -161,7 +161,7 @@ def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A made-up directory listing: (shard, name, size, mode, arrival)."""
-    e = events(spark, sf_dir).filter("event_id % 7 < 5")
+    e = events(spark, sf_dir)
     suffix = Pick([".wab", ".wab.sealed", ".wab.confirmed", ".wab.sealed", ".tmp"], 3).col
     folder = Pick(["shard_00", "shard_01", "shard_02", "shard_10", "dead_letter", "quarantine"]).col
     stem = F.when(folder == "dead_letter", "dl_").otherwise("seg_")
@@ -173,7 +173,7 @@ FILES = f"""files AS (
     SELECT shard, CASE WHEN shard = 'dead_letter' THEN 'dl_' ELSE 'seg_' END || lpad(CAST(event_id % 97 AS VARCHAR), 8, '0') || suffix AS name,
         event_id * 31 % 5000 AS size, {Pick([384, 384, 420, 384, 438]).sql} AS mode, event_id AS arrival
     FROM (SELECT *, {Pick(["shard_00", "shard_01", "shard_02", "shard_10", "dead_letter", "quarantine"]).sql} AS shard,
-        {Pick([".wab", ".wab.sealed", ".wab.confirmed", ".wab.sealed", ".tmp"], 3).sql} AS suffix FROM events WHERE event_id % 7 < 5))"""
+        {Pick([".wab", ".wab.sealed", ".wab.confirmed", ".wab.sealed", ".tmp"], 3).sql} AS suffix FROM events))"""
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,15 +102,15 @@ _ADMISSION = f"""{_WHOLE_HEADER}, adm AS (
             WHEN 'ReservedFlagsSet' THEN 'reserved_flags_set' ELSE 'unknown_message' END
         WHEN {_LEN} > 60 THEN 'payload_too_large' WHEN {_LEN} = 0 AND substr(f, 11, 2) = '01' THEN 'empty_payload'
         WHEN {B.sql_le_number("f", f"17 + {_LEN}", 4)} <> {B.sql_crc(f"unhex(substr(f, 33, CAST(2 * {_LEN} AS INT)))")} THEN 'bad_payload_crc'
-        WHEN substr(f, 11, 2) NOT IN ('01', '04') THEN 'unknown_message' END AS nack_reason FROM a, crc_t WHERE seq % 16 <> 1),
+        WHEN substr(f, 11, 2) NOT IN ('01', '04') THEN 'unknown_message' END AS nack_reason FROM a, crc_t
+    WHERE NOT (hv = 'ok' AND {_LEN} <= 60 AND ({_LEN} > 0 OR substr(f, 11, 2) <> '01') AND length(f) < 2 * ({_LEN} + 20))),
 adm2 AS (SELECT seq, nack_reason, CASE WHEN hv <> 'ok' OR nack_reason = 'unknown_message' THEN 'sync'
         ELSE CASE tier_hex WHEN '01' THEN 'sync' WHEN '02' THEN 'batched' WHEN '03' THEN 'buffered' END END AS tier,
         CASE kind_hex WHEN '01' THEN 'push' WHEN '04' THEN 'health_check' END AS kind FROM adm)"""
 
 
 def _admitted(spark: SparkSession, sf: str) -> DataFrame:
-    whole = B.frames(spark, sf).filter((F.octet_length("frame") >= 16) & (F.col("seq") % 16 != 1))
-    return R.admit(whole, max_payload=60)
+    return R.admit(B.frames(spark, sf), max_payload=60)
 
 
 @query("admission", f"{_ADMISSION} SELECT seq, nack_reason, tier, kind FROM adm2")

@@ -204,16 +204,15 @@ def dl_requeue_plan(spark: SparkSession, sf: str) -> DataFrame:
 _METRICS = ["records_accepted_total", "records_ack_total", "records_nack_total", "queue_depth", "sync_seconds_sum", "sync_seconds_count", "sink_health", "sink_info", "flusher_panics_total", "sync_failures_total"]
 
 
-def _exposition(spark: SparkSession, sf: str, below: int | None = None) -> DataFrame:
+def _exposition(spark: SparkSession, sf: str) -> DataFrame:
     e = F.col("event_id")
     metric = Pick(_METRICS).col
     label = F.when(metric.startswith("records_"), Pick(["sync", "batched"], 10).col).when(metric == "sink_health", Pick(["healthy", "degraded", "down"], 10).col).when(metric == "sink_info", F.lit("noop"))
     value = F.when(metric == "sink_health", (F.floor(e / 10) % 3 == 1).cast("double")).when(metric == "sink_info", 1.0).otherwise((e % 1000).cast("double"))
-    rows = B.events(spark, sf)
-    return (rows if below is None else rows.filter(e < below)).select(metric.alias("metric"), label.alias("label"), value.alias("value"))
+    return B.events(spark, sf).select(metric.alias("metric"), label.alias("label"), value.alias("value"))
 
 
-_EXPO = f"""x AS (SELECT event_id AS e, {Pick(_METRICS).sql} AS metric FROM events WHERE event_id < 60), ex AS (
+_EXPO = f"""x AS (SELECT event_id AS e, {Pick(_METRICS).sql} AS metric FROM events), ex AS (
     SELECT metric, CASE WHEN metric LIKE 'records%' THEN ['sync', 'batched'][CAST((e // 10) % 2 AS INT) + 1] WHEN metric = 'sink_health' THEN ['healthy', 'degraded', 'down'][CAST((e // 10) % 3 AS INT) + 1] WHEN metric = 'sink_info' THEN 'noop' END AS label,
         CASE WHEN metric = 'sink_health' THEN CASE WHEN (e // 10) % 3 = 1 THEN 1.0 ELSE 0.0 END WHEN metric = 'sink_info' THEN 1.0 ELSE CAST(e % 1000 AS DOUBLE) END AS value FROM x),
 sm AS (SELECT CAST(sum(value) FILTER (metric = 'records_accepted_total') AS BIGINT) AS accepted, CAST(sum(value) FILTER (metric = 'records_ack_total') AS BIGINT) AS ack, CAST(sum(value) FILTER (metric = 'records_nack_total') AS BIGINT) AS nack,
@@ -224,25 +223,20 @@ sm AS (SELECT CAST(sum(value) FILTER (metric = 'records_accepted_total') AS BIGI
 
 @query("metrics_summary", f"WITH {_EXPO} SELECT * FROM sm")
 def metrics_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return O.metrics_summary(_exposition(spark, sf, below=60))
+    return O.metrics_summary(_exposition(spark, sf))
 
 
 @query("summary_warnings", f"WITH {_EXPO} SELECT 0 AS priority, 'records_discarded' AS warning FROM sm WHERE sink_type = 'noop' UNION ALL SELECT 1, 'shard_offline' FROM sm WHERE flusher_panics > 0 UNION ALL SELECT 2, 'durability_hazard' FROM sm WHERE sync_failures > 0 UNION ALL SELECT 3, 'records_nacked' FROM sm WHERE nack > 0")
 def summary_warnings(spark: SparkSession, sf: str) -> DataFrame:
-    return O.summary_warnings(O.metrics_summary(_exposition(spark, sf, below=60)))
-
-
-def _whole_sql(name: str) -> str:
-    """The SQL of a query over the first 60 events, over all of them."""
-    return B.CATALOG[name].sql.replace(" WHERE event_id < 60)", ")")
+    return O.summary_warnings(O.metrics_summary(_exposition(spark, sf)))
 
 
-@query("metrics_summary_all", _whole_sql("metrics_summary"))
+@query("metrics_summary_all", B.CATALOG["metrics_summary"].sql)
 def metrics_summary_all(spark: SparkSession, sf: str) -> DataFrame:
     return O.metrics_summary(_exposition(spark, sf))
 
 
-@query("summary_warnings_all", _whole_sql("summary_warnings"))
+@query("summary_warnings_all", B.CATALOG["summary_warnings"].sql)
 def summary_warnings_all(spark: SparkSession, sf: str) -> DataFrame:
     return O.summary_warnings(O.metrics_summary(_exposition(spark, sf)))
 

@@ -1,8 +1,12 @@
+import random
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from siltstream.operators import faults
 from siltstream.operators.drain import dead_letter_gate
+from siltstream.operators.records import admit
 from siltstream.sources.sinks import HttpSink, NoopSink, Sink
 from siltstream.streaming.delivery import RECORDS, Delivery
 
@@ -69,3 +73,23 @@ def test_generator_and_invariants(spark):
     a = spark.createDataFrame([("x",), ("y",)], "payload_hash string")
     assert faults.false_acks(a, a).count() == 0
     assert [r.payload_hash for r in faults.false_acks(a, a.filter("payload_hash = 'x'")).collect()] == ["y"]
+
+
+def test_gate_equals_a_fold_over_each_stream(spark):
+    r = random.Random(2)
+    rows = [(s, i, r.choice([0, 1, 5, 40, 300, 2000])) for s in range(4) for i in range(r.choice([1, 50, 9000]))]
+    want, total = [], {}
+    for s, i, size in sorted(rows):
+        write = total.get(s, 0) + size <= 1000 or size > 1000
+        total[s] = total.get(s, 0) + (size if write else 0)
+        want.append((s, i, size, "write" if write else "block", total[s]))
+    out = dead_letter_gate(spark.createDataFrame(rows, "stream long, seq long, bytes long"), 1000)
+    assert sorted(tuple(x) for x in out.collect()) == want
+
+
+def test_frames_that_have_not_come_whole_are_not_judged(spark):
+    whole = bytes.fromhex("57454952" + "01010100" + "03000000")  # magic; version, push, sync, no flags; length
+    whole += zlib.crc32(whole).to_bytes(4, "little")
+    frames = [bytearray((whole + b"abc" + zlib.crc32(b"abc").to_bytes(4, "little"))[:n]) for n in range(24)]
+    out = admit(spark.createDataFrame([(f,) for f in frames], "frame binary"))
+    assert [(len(x.frame), x.nack_reason, x.kind) for x in out.collect()] == [(23, None, "push")]
