@@ -61,7 +61,10 @@ def collapse_snapshots(df: DataFrame, *, conv_col: str = "conv_id", turn_col: st
     one with a smaller id; copies counts the ids with the same turns.  Null roles and texts equal each other only.
     Rows with a null conversation id belong to none.  Repeated rows are turns of their own.
     """
-    turns = stored(numbered_turns(df, conv_col, turn_col, role_col, text_col), "turns")
+    return _maximal(stored(numbered_turns(df, conv_col, turn_col, role_col, text_col), "turns"))
+
+
+def _maximal(turns: DataFrame) -> DataFrame:
     hashes = stored(prefix_hashes(turns), "prefixes")
     whole = hashes.filter("whole").groupBy("n", *_SUMS).agg(F.min("conv").alias("conv"), F.count("*").alias("copies"))
     prefixes = hashes.filter("not whole").select("n", *_SUMS).distinct()
@@ -73,9 +76,8 @@ def render_chats(df: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "t
 
     A null role is written as 'unknown', a null text as ''.
     """
-    args = {"conv_col": conv_col, "turn_col": turn_col, "role_col": role_col, "text_col": text_col}
-    kept = collapse_snapshots(df, **args)
-    turns = numbered_turns(df, conv_col, turn_col, role_col, text_col)
+    turns = stored(numbered_turns(df, conv_col, turn_col, role_col, text_col), "turns")
+    kept = stored(_maximal(turns), "maximal")
     before, _, after = start.partition("{role}")
     line = F.concat(F.lit(before), F.coalesce("role", F.lit("unknown")), F.lit(after), F.coalesce("text", F.lit("")), F.lit(end))
     lines = turns.join(kept.select("conv"), "conv", "left_semi").select("conv", F.struct("rank", line.alias("line")).alias("x"))
