@@ -87,10 +87,10 @@ def from_planes(raw: bytes, n: int, n_bytes: int) -> np.ndarray:
     return out.reshape(-1).view(U64)
 
 
-def range_bounds(hashes: np.ndarray, ranges: int, bits: int) -> np.ndarray:
-    """Where each hash range begins among sorted hashes of so many bits."""
-    edges = np.array([(i << bits) // ranges for i in range(1, ranges)], U64)
-    return np.concatenate(([0], np.searchsorted(hashes, edges), [len(hashes)]))
+def range_of(hashes: np.ndarray, ranges: int, bits: int) -> np.ndarray:
+    """The hash range of each hash of so many bits; it rises with the hash."""
+    top = (hashes << U64(64 - bits)) >> U64(32)
+    return ((top * U64(ranges)) >> U64(32)).astype(np.int64)
 
 
 def bits_of(flags: np.ndarray) -> bytes:
@@ -101,11 +101,12 @@ def flags_of(raw: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool)
 
 
-def answered(bounds: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
-    """The flags of a chunk's distinct hashes from the bitmaps that the ranges sent."""
-    out = np.zeros(int(bounds[-1]), bool)
-    for part, raw in answers.items():
-        a, b = int(bounds[part]), int(bounds[part + 1])
+def answered(hashes: np.ndarray, ranges: int, bits: int, answers: dict[int, bytes]) -> np.ndarray:
+    """The flags of a chunk's sorted distinct hashes from the bitmaps that the ranges sent."""
+    out = np.zeros(len(hashes), bool)
+    part = range_of(hashes, ranges, bits)
+    for number, raw in answers.items():
+        a, b = np.searchsorted(part, (number, number + 1)).tolist()
         out[a:b] = flags_of(raw, b - a)
     return out
 
@@ -134,10 +135,10 @@ def ask(rows: DataFrame, judge: Callable[[np.ndarray, list[bytes], np.ndarray],
 
 
 def to_ranges(chunk: int, hashes: np.ndarray, extra: Callable[[int, int], bytes], ranges: int, n_bytes: int) -> pa.RecordBatch:
-    """One row for each hash range in which this chunk has hashes (sorted, distinct)."""
-    bounds = range_bounds(hashes, ranges, 8 * n_bytes)
-    parts = np.flatnonzero(np.diff(bounds))
-    spans = [(int(p), int(bounds[p]), int(bounds[p + 1])) for p in parts]
+    """One row for each hash range in which this chunk has hashes (sorted, distinct); ranges without any cost nothing."""
+    part = range_of(hashes, ranges, 8 * n_bytes)
+    cuts = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)])) if len(part) else np.zeros(1, np.int64)
+    spans = list(zip(part[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
     return pa.RecordBatch.from_arrays(
         [
             pa.array([p for p, _, _ in spans], pa.int32()),

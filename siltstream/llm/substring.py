@@ -112,7 +112,7 @@ def remove_repeats(
     def regain(words: Words, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
         at, hashes = _probes(words, block, window, n_bytes)
         found, order, begins = C.distinct(hashes)
-        flags = C.answered(C.range_bounds(found, ranges, 8 * n_bytes), answers)
+        flags = C.answered(found, ranges, 8 * n_bytes, answers)
         is_live = np.zeros(len(at), bool)
         is_live[order] = np.repeat(flags, np.diff(np.append(begins, len(hashes))))
         return _around_hits(words, at, is_live, block, window)
@@ -164,7 +164,7 @@ def remove_repeats(
                 first, hashes = regain(words, answers[0])
                 found, smallest, number, own = local_first(words, batch, first, hashes)
                 if len(found):
-                    before = C.answered(C.range_bounds(found, ranges, 64), answers[1])
+                    before = C.answered(found, ranges, 64, answers[1])
                     repeated = first[before[number] | (own > smallest[number])]
                     marks = np.zeros(len(gone) + 1, np.int32)
                     marks[repeated] += 1  # no position repeats, so plain indexing adds each once
