@@ -129,13 +129,19 @@ class QualityModel:
         return _forward(self.weights, x, _embedded(self.weights["E"], x))[0]
 
 
-def _embedded(table: np.ndarray, x: Bags) -> np.ndarray:
-    """Mean embedding of each passage."""
+def _embedded(table: np.ndarray, x: Bags, step: int = 1 << 17) -> np.ndarray:
+    """Mean embedding of each passage; about ``step`` words and pairs at a time, so a long text takes little memory."""
+    small = table.astype(np.float32)
     n = np.diff(x.first)
-    some = n > 0
     out = np.zeros((len(n), table.shape[1]))
-    if some.any():
-        out[some] = np.add.reduceat(table.astype(np.float32)[x.grams], x.first[:-1][some], axis=0) / n[some, None]
+    a = 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(x.first, x.first[a] + step, side="right")) - 1)
+        some = n[a:b] > 0
+        if some.any():
+            sums = np.add.reduceat(small[x.grams[x.first[a] : x.first[b]]], (x.first[a:b] - x.first[a])[some], axis=0)
+            out[a:b][some] = sums / n[a:b][some, None]
+        a = b
     return out
 
 
