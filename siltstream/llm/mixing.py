@@ -17,10 +17,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import partitions, stored
 from .words import U64, mix
 
 #: Equal rows in one unit.
@@ -28,26 +28,44 @@ PIECE = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """Add ``rank`` (from 0, by code point, null last) to one row per source, without bringing all to one task.
+
+    Sources are dealt out by range and numbered within their partition; only the number of rows of each partition
+    goes to the driver.
+    """
+    by_source = F.col("source").asc_nulls_last()
+    dealt = sizes.repartitionByRange(partitions(sizes.sparkSession), by_source).sortWithinPartitions(by_source)
+    dealt = stored(dealt.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")), "mix-ranks")
+    counts = {r["part"]: r["n"] for r in dealt.groupBy("part").agg(F.count("*").alias("n")).collect()}  # one row per partition
+    starts, total = [], 0
+    for part in range(max(counts, default=0) + 1):
+        starts.append(total)
+        total += counts.get(part, 0)
+    # A number of monotonically_increasing_id has the partition above its lowest 33 bits.
+    rank = F.element_at(F.lit(starts), F.col("part") + 1) + F.col("place") % F.lit(1 << 33)
+    return dealt.select(*sizes.columns, rank.cast("long").alias("rank"))
+
+
 def source_targets(sizes: DataFrame, factor: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0) -> DataFrame:
     """Add ``target`` to one row per source (source string, source_size long).
 
     Sources by code point, null last, weigh ``weights`` in turn and share ``factor`` times all sizes; no target is
-    above ``most`` times its source's size, and what is above goes to the others by weight.  Solved in closed form:
-    by rising limit per weight, a source is at its limit as long as that is below the level of all that follow.
-    The windows are global, over one row per source.
+    above ``most`` times its source's size, and what is above goes to the others by weight.  The level (words a
+    weight) rises with each source found above its limit, until no more are.
     """
-    turn = (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
-    ranked = sizes.select("*", weight.alias("w")).select("*", (F.col("source_size") * F.lit(most)).alias("cap"))
-    rising = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum("source_size").over(everything) * F.lit(factor)
-    before = F.coalesce(F.sum("cap").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("w").over(rising.rowsBetween(0, Window.unboundedFollowing))
-    levelled = ranked.select("*", ((total - before) / rest).alias("level"))
-    free = F.col("cap") >= F.col("level") * F.col("w")
-    level = F.max(F.when(free, F.col("level"))).over(everything)
-    return levelled.select("source", "source_size", F.coalesce(F.least(F.col("cap"), F.col("w") * level), F.col("cap")).alias("target"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
+    ranked = stored(_ranked(sizes).select("source", "source_size", weight.alias("w"), (F.col("source_size") * F.lit(most)).alias("cap")), "mix-weights")
+    sums = ranked.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    total = factor * float(sums["size"] or 0)
+    level, full = total / sums["w"] if sums["w"] else 0.0, 0
+    while True:
+        above = F.col("cap") < F.col("w") * F.lit(level)
+        held = ranked.agg(F.count(F.when(above, 1)).alias("n"), F.sum(F.when(above, F.col("cap"))).alias("cap"), F.sum(F.when(~above, F.col("w"))).alias("w")).first()
+        if held["n"] == full or not held["w"]:
+            break
+        full, level = held["n"], (total - held["cap"]) / held["w"]
+    return ranked.select("source", "source_size", F.least(F.col("cap"), F.col("w") * F.lit(level)).alias("target"))
 
 
 def _chance(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

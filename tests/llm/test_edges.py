@@ -238,7 +238,7 @@ def test_bags_of_some_documents_are_theirs():
 def test_each_document_keeps_its_expectation(spark):
     rows = [(i, "w " * (5 if i else 60), "a") for i in range(12)] + [(100 + i, "w " * 40, "b") for i in range(6)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    sums, n = {}, 60
+    sums, n = {}, 30
     for seed in range(n):
         for x in mix_sources(table, seed=seed, group_rows=4, fan_in=2).collect():
             rate, taken = sums.get(x.doc_id, (0, 0))
@@ -337,3 +337,17 @@ def test_stages_on_odd_rows_keep_what_they_should(spark):
     assert cut[7] == clean and cut[8] == "" and cut[9] is None and cut[None] == ""
     mixed = corpus_pipeline.mixing(spark, table, SF).collect()
     assert all(re.search(r"\S", x.text or "") for x in mixed)
+
+
+def test_targets_of_many_sources(spark):
+    from siltstream.llm.mixing import source_targets
+    from test_other_operators import brute_targets
+
+    r = random.Random(3)
+    sizes = {f"{r.choice('aZé')}{i}": int(10 ** r.uniform(0, 6)) for i in range(3000)} | {None: 77, "": 0}
+    table = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    want = brute_targets(sizes)
+    got = {x.source: x.target for x in source_targets(table).collect()}
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) <= 1e-6 * max(want[s], 1) for s in want)
+    assert source_targets(table.limit(0)).count() == 0
+    assert [x.target for x in source_targets(table.filter("source = ''")).collect()] == [0.0]
