@@ -227,8 +227,9 @@ def deal_members(members: DataFrame) -> DataFrame:
 def compare_members(dealt: DataFrame, percent: int, most: int, one: bool = False) -> DataFrame:
     """Distinct candidate pairs (a, b) of dealt members(key, block, blocks, rep, n, root, bits) of the same bucket.
 
-    A block is compared with itself where it is put together; each pair of blocks of a large bucket is a row of its
-    own, so that no task gets a whole bucket.  one: a block with itself only, one partner for each member.
+    A bucket of one block is compared where it is put together.  The blocks of a larger one become one row each, and
+    so does each pair of them, so that no task gets a whole bucket and all rows of a stage cost about the same.
+    one: a block with itself only, one partner for each member.
     """
     ordered = dealt.repartition("key", "block").sortWithinPartitions("key", "block")
 
@@ -270,23 +271,27 @@ def compare_members(dealt: DataFrame, percent: int, most: int, one: bool = False
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                sides = []
+                same, sides = batch.column("i")[i] == batch.column("j")[i], []
                 for side in ("l_", "r_"):
-                    x = {c: np.frombuffer(batch.column(side + c)[i].as_py(), np.int64) for c in (*_MEMBER, "bits")}
-                    sides.append(x | {"bits": x["bits"].reshape(len(x["rep"]), -1)})
-                yield _pairs_batch([_close_pairs(*sides, percent, most)])
-
-    own = ordered.mapInArrow(within, "a long, b long")
+                    if batch.column(side + "rep")[i].is_valid:
+                        x = {c: np.frombuffer(batch.column(side + c)[i].as_py(), np.int64) for c in (*_MEMBER, "bits")}
+                        sides.append(x | {"bits": x["bits"].reshape(len(x["rep"]), -1)})
+                if same or len(sides) == 2:  # a block may have no members
+                    yield _pairs_batch([_close_pairs(sides[0], None if same else sides[1], percent, most)])
+
+    alone = ordered if one else ordered.filter("blocks = 1")
+    small = alone.mapInArrow(within, "a long, b long").distinct()
     if one:
-        return own.distinct()
+        return small
     packed = ordered.filter("blocks > 1").mapInArrow(pack, "key long, block int, blocks int, rep binary, n binary, root binary, bits binary")
     packed = stored(packed, "blocks")
     names = (*_MEMBER, "bits")
-    later = F.sequence(F.col("block") + 1, F.col("blocks") - 1)
-    left = packed.filter("block < blocks - 1").select("key", F.col("block").alias("i"), F.explode(later).alias("j"), *[F.col(c).alias(f"l_{c}") for c in names])
+    # Both sides of a pair of blocks are dealt by the pair; a block is also paired with itself, as a row without a right side.
+    later = F.sequence(F.col("block"), F.col("blocks") - 1)
+    left = packed.select("key", F.col("block").alias("i"), F.explode(later).alias("j"), *[F.col(c).alias(f"l_{c}") for c in names])
     right = packed.filter("block > 0").select("key", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), *[F.col(c).alias(f"r_{c}") for c in names])
-    pairs = own.union(left.join(right, ["key", "i", "j"]).mapInArrow(across, "a long, b long"))
-    return pairs.distinct()
+    large = left.join(right, ["key", "i", "j"], "left").mapInArrow(across, "a long, b long").distinct()
+    return small.union(large).distinct()
 
 
 def near_duplicates(
