@@ -171,13 +171,29 @@ def path_check(path: Column) -> Column:
     )
 
 
+def one_decimal(x: Column) -> Column:
+    """A double of at least 1 with one decimal, rounded by its exact binary value, ties to the even digit.
+
+    ``format_string`` rounds the shortest decimal text and ties up.
+    """
+    whole, bits = F.floor(x), 52
+    scaled = ((x - whole) * F.lit(float(1 << bits))).cast("long") * 10
+    tenths, rest = F.shiftright(scaled, bits), scaled.bitwiseAND(F.lit((1 << bits) - 1))
+    half = F.lit(1 << (bits - 1))
+    up = ((rest > half) | ((rest == half) & (tenths % 2 == 1))).cast("long")
+    total = whole * 10 + tenths + up
+    return F.concat(F.floor(total / 10).cast("string"), F.lit("."), (total % 10).cast("string"))
+
+
 def fmt_bytes(n: Column) -> Column:
     """Bytes in units of 1024, one decimal."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB")):
-        out = F.when(n >= 1024**power, F.format_string(f"%.1f {unit}", n / F.lit(float(1024**power)))).otherwise(out)
+        out = F.when(n >= 1024**power, F.concat(one_decimal(n / F.lit(float(1024**power))), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
 def fmt_micros(us: Column) -> Column:
-    return F.when(us >= 1e6, F.format_string("%.1f s", us / 1e6)).when(us >= 1e3, F.format_string("%.1f ms", us / 1e3)).otherwise(F.format_string("%.0f µs", us.cast("double")))
+    """Microseconds as s, ms or whole µs."""
+    small = F.concat(F.rint(us).cast("long").cast("string"), F.lit(" µs"))
+    return F.when(us >= 1e6, F.concat(one_decimal(us / 1e6), F.lit(" s"))).when(us >= 1e3, F.concat(one_decimal(us / 1e3), F.lit(" ms"))).otherwise(small)

@@ -175,6 +175,22 @@ def path_check(spark: SparkSession, sf: str) -> DataFrame:
 _STATE = "CASE WHEN name LIKE '%.wab.confirmed' THEN 'confirmed' WHEN name LIKE '%.wab.sealed' THEN 'sealed' WHEN name LIKE '%.wab' THEN 'active' END"
 
 
+_BYTES = "CASE event_id % 3 WHEN 0 THEN event_id * 128 WHEN 1 THEN event_id * event_id * 1000003 % 20000000000 ELSE event_id % 1024 END"
+_MICROS = "CASE event_id % 3 WHEN 0 THEN event_id * 50 WHEN 1 THEN event_id * event_id * 1009 % 9000000 ELSE event_id % 2000 / CAST(2 AS DOUBLE) END"
+
+
+@query(
+    "pretty_print",
+    f"""WITH v AS (SELECT event_id, {_BYTES} AS n, CAST({_MICROS} AS DOUBLE) AS us FROM events)
+    SELECT event_id, CASE WHEN n >= 1073741824 THEN format('{{:.1f}} GiB', CAST(n AS DOUBLE) / 1073741824) WHEN n >= 1048576 THEN format('{{:.1f}} MiB', CAST(n AS DOUBLE) / 1048576)
+        WHEN n >= 1024 THEN format('{{:.1f}} KiB', CAST(n AS DOUBLE) / 1024) ELSE CAST(n AS VARCHAR) || ' B' END AS bytes,
+        CASE WHEN us >= 1000000 THEN format('{{:.1f}} s', us / 1000000) WHEN us >= 1000 THEN format('{{:.1f}} ms', us / 1000) ELSE format('{{:.0f}} µs', us) END AS micros FROM v""",
+)
+def pretty_print(spark: SparkSession, sf: str) -> DataFrame:
+    rows = B.events(spark, sf).select("event_id", F.expr(_BYTES).alias("n"), F.expr(_MICROS).cast("double").alias("us"))
+    return rows.select("event_id", K.fmt_bytes(F.col("n")).alias("bytes"), K.fmt_micros(F.col("us")).alias("micros"))
+
+
 @query(
     "segment_accounting",
     f"""WITH {B.FILES}, s AS (SELECT shard, size, {_STATE} AS state FROM files WHERE shard <> 'dead_letter')

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as K
@@ -402,3 +402,34 @@ def recover_prefix(spark: SparkSession, sf: str) -> DataFrame:
 
     found = verify_segments(_damaged(spark, sf), "shard_id", "seg_no")
     return found.select("shard_id", "seg_no", "records", V.recovery_class(F.col("fault"), F.col("trailing"), F.lit(True)).alias("action"))
+
+
+#: Even segments lose their end anywhere; in odd ones a byte of a checksum or payload is inverted.
+_CUT, _RECORD, _BYTE = "1 + (seg_no * 7919 + shard_id * 104729) % {length}", "seg_no * 31 % n", "4 + seg_no * 17 % (size - 4)"
+
+
+@query(
+    "recover_torn",
+    f"""{_SEG}, rec AS (
+        SELECT shard_id, seg_no, 24 + sum(size) OVER w AS ends, count(*) OVER p AS n, {_CUT.format(length="(sum(size) OVER p + 60)")} AS c FROM seg WHERE sealed
+        WINDOW w AS (PARTITION BY shard_id, seg_no ORDER BY seq), p AS (PARTITION BY shard_id, seg_no)),
+    f AS (SELECT shard_id, CAST(seg_no AS BIGINT) AS seg_no, any_value(n) AS n, any_value(c) AS c, count(*) FILTER (ends <= c) AS good, coalesce(max(ends) FILTER (ends <= c), 24) AS done FROM rec GROUP BY ALL)
+    SELECT shard_id, seg_no, CASE WHEN seg_no % 2 = 1 THEN {_RECORD} ELSE good END AS records,
+        CASE WHEN seg_no % 2 = 1 THEN CASE WHEN shard_id % 2 = 0 THEN 'copy_and_truncate' ELSE 'untouched' END
+            WHEN c < 24 THEN 'quarantine' WHEN c = done OR (good = n AND c - done >= 4) THEN 'seal' ELSE 'truncate' END AS action FROM f""",
+)
+def recover_torn(spark: SparkSession, sf: str) -> DataFrame:
+    from ..sources.segment_files import verify_segments
+
+    whole = Window.partitionBy("shard_id", "seg_no")
+    rec = B.segmented(spark, sf).filter("sealed").select("shard_id", "seg_no", "seq", (F.octet_length("payload") + 8).alias("size"))
+    order = whole.orderBy("seq")
+    rec = rec.select("*", (F.row_number().over(order) - 1).alias("i"), F.sum("size").over(order).alias("filled"), F.count("*").over(whole).alias("n"))
+    hit = rec.filter(f"i = {_RECORD}").select("shard_id", "seg_no", F.expr(f"24 + filled - size + {_BYTE}").cast("int").alias("at"))
+    files = _files(spark, sf).join(hit, ["shard_id", "seg_no"]).withColumn("h", F.hex("data"))
+    kept = F.substring("h", F.lit(1), (2 * F.expr(_CUT.format(length="octet_length(data)"))).cast("int"))
+    inverted = F.translate(F.substring("h", 2 * F.col("at") + 1, F.lit(2)), "0123456789ABCDEF", "FEDCBA9876543210")
+    flipped = F.concat(F.substring("h", F.lit(1), 2 * F.col("at")), inverted, F.substring("h", 2 * F.col("at") + 3, F.length("h")))
+    torn = files.select("shard_id", "seg_no", F.unhex(F.when(F.col("seg_no") % 2 == 0, kept).otherwise(flipped)).alias("data"))
+    action = V.recovery_class(F.col("fault"), F.col("trailing"), F.col("shard_id") % 2 == 0)
+    return verify_segments(torn, "shard_id", "seg_no").select("shard_id", "seg_no", "records", action.alias("action"))

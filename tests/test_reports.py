@@ -1,5 +1,7 @@
 """Reports over every event, and not over a first few."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as e
 
 from oracle import SF, connect
@@ -13,3 +15,23 @@ def test_summaries_read_the_whole_table(spark):
     assert con.sql("SELECT count(*) FROM events WHERE event_id >= 60").fetchall()[0][0] > 0
     assert "event_id < 60" not in e.oracle_sql()["metrics_summary_all"] + e.oracle_sql()["summary_warnings_all"]
     assert {r.warning for r in e.queries()["summary_warnings_all"](spark, SF).collect()} == {"records_discarded", "shard_offline", "durability_hazard", "records_nacked"}
+
+
+def test_printed_numbers_round_as_their_binary_values(spark):
+    from siltstream.functions.classify import fmt_bytes, fmt_micros
+
+    values = [0, 1, 999, 1000, 1023, 1024, 1150, 1250, 1280, 1350, 1450, 1792, 999_949, 999_950, 999_999, 1_250_000, 10**9 * 3, 2**30, 2**30 * 5 // 4, 2**50 + 1]
+    values += [50 * i for i in range(1, 20_000, 7)]
+
+    def size(n):
+        for power, unit in ((3, "GiB"), (2, "MiB"), (1, "KiB")):
+            if n >= 1024**power:
+                return f"{n / 1024**power:.1f} {unit}"
+        return f"{n} B"
+
+    def micros(us):
+        return f"{us / 1e6:.1f} s" if us >= 1e6 else f"{us / 1e3:.1f} ms" if us >= 1e3 else f"{us:.0f} µs"
+
+    rows = spark.createDataFrame([(v,) for v in values], "v long")
+    got = rows.select("v", fmt_bytes(F.col("v")), fmt_micros(F.col("v").cast("double")), fmt_micros(F.col("v") / 2.0)).collect()
+    assert [tuple(r) for r in got] == [(v, size(v), micros(float(v)), micros(v / 2)) for v in values]
