@@ -64,9 +64,9 @@ def le_bytes(value: Column, n: int) -> Column:
 def le_number(data: Column, at: Column | int, n: int) -> Column:
     """The unsigned little-endian number of n bytes from 1-based position ``at``; null if the data end before."""
     start = F.lit(at) if isinstance(at, int) else at
-    raw = F.hex(F.substring(data, start, F.lit(n)))
-    whole = F.regexp_extract(raw, rf"\A[0-9A-F]{{{2 * n}}}\z", 0)
-    return F.conv(F.nullif(_swapped(whole, n), F.lit("")), 16, 10).cast("long")
+    # Byte by byte from the highest: nothing is computed twice, and no pattern has to be matched.
+    digits = F.concat(*[F.hex(F.substring(data, start + i, F.lit(1))) for i in reversed(range(n))])
+    return F.when(F.octet_length(data) >= start + (n - 1), F.conv(digits, 16, 10).cast("long"))
 
 
 def header(message_type: Column, durability: Column, payload_len: Column) -> Column:

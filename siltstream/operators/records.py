@@ -49,11 +49,13 @@ def admit(frames: DataFrame, frame_col: str = "frame", max_payload: int = codec.
     bytes that this takes have come are not judged yet and left out.
     """
     data = F.col(frame_col)
-    frames = frames.filter(F.octet_length(data) >= codec.HEADER_BYTES)
-    # In steps: each column is computed once, which keeps the generated code small.
-    read = frames.select("*", F.struct(codec.le_number(data, 6, 1).alias("kind"), codec.le_number(data, 7, 1).alias("tier"), codec.le_number(data, 9, 4).alias("length")).alias("_h"))
-    read = read.select("*", codec.header_verdict(data).alias("_verdict"))
-    length, kind, verdict = F.col("_h.length"), F.col("_h.kind"), F.col("_verdict")
+    # The header is read in a generator: Catalyst would copy columns of a projection into the filter below, and what
+    # they read from into them.
+    read = F.struct(
+        codec.le_number(data, 6, 1).alias("kind"), codec.le_number(data, 7, 1).alias("tier"), codec.le_number(data, 9, 4).alias("length"), codec.header_verdict(data).alias("verdict")
+    )
+    read = frames.select("*", F.explode(F.when(F.octet_length(data) >= codec.HEADER_BYTES, F.array(read))).alias("_h"))
+    length, kind, verdict = F.col("_h.length"), F.col("_h.kind"), F.col("_h.verdict")
     payload = F.substring(data, F.lit(codec.HEADER_BYTES + 1), length.cast("int"))
     crc = codec.le_number(data, (length + codec.HEADER_BYTES + 1).cast("int"), 4)
     push, health = codec.MESSAGE_TYPES["push"], codec.MESSAGE_TYPES["health_check"]

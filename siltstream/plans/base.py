@@ -104,13 +104,15 @@ _TYPE = {6: 9, 14: 2, 15: 4}
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, frame): a push frame of each record, damaged in one of 15 ways by seq."""
-    rec = records(spark, sf_dir)
     case = F.pmod(F.col("seq"), F.lit(CASES))
     payload = F.when(case.isin(13, 15), F.lit(b"")).otherwise(F.col("payload"))
+    rec = records(spark, sf_dir).select("seq", case.alias("case"), payload.alias("payload"))
+    # In steps, since each is used more than once in the next.
+    case, payload, head, whole = F.col("case"), F.col("payload"), F.col("head"), F.col("whole")
     kind = F.when(case == 6, 9).when(case == 14, 2).when(case == 15, 4).otherwise(1)
     tier = F.when(case == 7, 9).otherwise(F.pmod(F.col("seq"), F.lit(3)) + 1)
     length = F.when(case == 9, 16_777_217).otherwise(F.octet_length(payload))
-    head = F.concat(
+    body = F.concat(
         F.unhex(F.when(case == 3, "58454952").otherwise(codec.MAGIC)),
         codec.le_bytes(F.when(case == 4, 2).otherwise(1), 1),
         codec.le_bytes(kind, 1),
@@ -120,10 +122,11 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     head_crc = F.crc32(head).bitwiseXOR(F.when(case == 5, F.lit(1)).otherwise(F.lit(0)).cast("long"))
     body_crc = F.crc32(payload).bitwiseXOR(F.when(case == 10, F.lit(1)).otherwise(F.lit(0)).cast("long"))
-    whole = F.concat(head, codec.le_bytes(head_crc, 4), payload, codec.le_bytes(body_crc, 4))
-    size = F.octet_length(whole)
-    cut = F.when(case == 1, F.substring(whole, F.lit(1), size - 1)).when(case == 2, F.concat(whole, F.unhex(F.lit("00")))).when(case == 11, F.substring(whole, 1, 9)).otherwise(whole)
-    return rec.select("seq", cut.alias("frame"))
+    frame = F.concat(head, codec.le_bytes(head_crc, 4), payload, codec.le_bytes(body_crc, 4))
+    made = rec.select("*", body.alias("head")).select("seq", "case", frame.alias("whole"))
+    short = F.substring(whole, F.lit(1), F.octet_length(whole) - 1)
+    cut = F.when(case == 1, short).when(case == 2, F.concat(whole, F.unhex(F.lit("00")))).when(case == 11, F.substring(whole, 1, 9)).otherwise(whole)
+    return made.select("seq", cut.alias("frame"))
 
 
 FRAMES = f"""{RECORDS}, {CRC_TABLE}, fr0 AS (
