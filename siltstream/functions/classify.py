@@ -195,5 +195,6 @@ def fmt_bytes(n: Column) -> Column:
 
 def fmt_micros(us: Column) -> Column:
     """Microseconds as s, ms or whole µs."""
-    small = F.concat(F.rint(us).cast("long").cast("string"), F.lit(" µs"))
+    sign = F.when((us < 0) & (us >= -0.5), "-").otherwise("")  # -0, as of every rounded double
+    small = F.concat(sign, F.rint(us).cast("long").cast("string"), F.lit(" µs"))
     return F.when(us >= 1e6, F.concat(one_decimal(us / 1e6), F.lit(" s"))).when(us >= 1e3, F.concat(one_decimal(us / 1e3), F.lit(" ms"))).otherwise(small)

@@ -35,3 +35,15 @@ def test_printed_numbers_round_as_their_binary_values(spark):
     rows = spark.createDataFrame([(v,) for v in values], "v long")
     got = rows.select("v", fmt_bytes(F.col("v")), fmt_micros(F.col("v").cast("double")), fmt_micros(F.col("v") / 2.0)).collect()
     assert [tuple(r) for r in got] == [(v, size(v), micros(float(v)), micros(v / 2)) for v in values]
+
+
+def test_printed_numbers_of_events_whose_square_leaves_a_long(spark, tmp_path):
+    ids = [0, 1, 2, 3, 3_036_991, 3_036_994, 3_037_000, *range(5_999_990, 6_000_000), 95_606_101, 3 * 10**15 + 1, 10**16, -1, -2, -3, -6_000_002, None]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = [tuple(r) for r in e.queries()["pretty_print"](spark, str(tmp_path)).select("event_id", "bytes", "micros").collect()]
+    # The same SQL over products of 128 bits, since those of DuckDB's BIGINT end at the same ids.
+    sql = e.oracle_sql()["pretty_print"].replace("event_id * event_id", "CAST(event_id AS HUGEINT) * event_id")
+    con = connect()
+    con.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(f"SELECT event_id, bytes, micros FROM ({sql})").fetchall()
+    assert len(got) == len(ids) and sorted(got, key=repr) == sorted(want, key=repr)
