@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as K
@@ -343,20 +343,25 @@ def _files(spark: SparkSession, sf: str) -> DataFrame:
     return segment_bytes(B.segmented(spark, sf).filter("sealed"))
 
 
+def _inverted(text: Column, at: Column) -> Column:
+    """A hex text with the byte at ``at`` inverted: another byte whatever it was."""
+    byte = F.translate(F.substring(text, 2 * at + 1, F.lit(2)), "0123456789ABCDEF", "FEDCBA9876543210")
+    return F.concat(F.substring(text, F.lit(1), 2 * at), byte, F.substring(text, 2 * at + 3, F.length(text)))
+
+
 def _damaged(spark: SparkSession, sf: str) -> DataFrame:
     """Sealed files, damaged in one of nine ways by their number."""
     h, k, n = F.hex("data"), F.col("seg_no") % 10, F.octet_length("data")
     cut = lambda drop: F.substring(h, F.lit(1), 2 * (n - drop))
-    patch = lambda at, byte: F.concat(F.substring(h, F.lit(1), 2 * at), F.lit(byte), F.substring(h, 2 * at + 3, 2 * n))
     bad = (
         F.when(k == 1, F.substring(h, 1, 20))
-        .when(k == 2, patch(F.lit(0), "58"))
+        .when(k == 2, _inverted(h, F.lit(0)))
         .when(k == 3, cut(36))
-        .when(k == 4, patch(F.lit(32), "FF"))
+        .when(k == 4, _inverted(h, F.lit(32)))
         .when(k == 5, cut(32))
-        .when(k == 6, F.concat(cut(13), F.lit("FFFFFFFFFF"), F.substring(h, 2 * (n - 8) + 1, F.lit(16))))
-        .when(k == 7, patch(n - 32, "FF"))
-        .when(k == 8, patch(n - 24, "00"))
+        .when(k == 6, _inverted(h, n - 13))  # the file's checksum
+        .when(k == 7, _inverted(h, n - 32))  # the count
+        .when(k == 8, _inverted(h, n - 24))  # the bytes
         .when(k == 9, F.concat(h, F.lit("00")))
         .otherwise(h)
     )
@@ -428,8 +433,7 @@ def recover_torn(spark: SparkSession, sf: str) -> DataFrame:
     hit = rec.filter(f"i = {_RECORD}").select("shard_id", "seg_no", F.expr(f"24 + filled - size + {_BYTE}").cast("int").alias("at"))
     files = _files(spark, sf).join(hit, ["shard_id", "seg_no"]).withColumn("h", F.hex("data"))
     kept = F.substring("h", F.lit(1), (2 * F.expr(_CUT.format(length="octet_length(data)"))).cast("int"))
-    inverted = F.translate(F.substring("h", 2 * F.col("at") + 1, F.lit(2)), "0123456789ABCDEF", "FEDCBA9876543210")
-    flipped = F.concat(F.substring("h", F.lit(1), 2 * F.col("at")), inverted, F.substring("h", 2 * F.col("at") + 3, F.length("h")))
+    flipped = _inverted(F.col("h"), F.col("at"))
     torn = files.select("shard_id", "seg_no", F.unhex(F.when(F.col("seg_no") % 2 == 0, kept).otherwise(flipped)).alias("data"))
     action = V.recovery_class(F.col("fault"), F.col("trailing"), F.col("shard_id") % 2 == 0)
     return verify_segments(torn, "shard_id", "seg_no").select("shard_id", "seg_no", "records", action.alias("action"))

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -61,6 +62,24 @@ def test_any_bytes_scan_without_error():
         assert found.verdict and found.fault
 
 
+def test_damage_changes_files_whatever_they_hold(spark, monkeypatch):
+    """The first payload byte is FF, the file checksum of segment 6 ends in FF, segment 7 counts 255 records, segment 8 holds 256 bytes."""
+    from siltstream.plans import segment_queries as Q
+
+    def checksum(payload):
+        record = len(payload).to_bytes(4, "little") + zlib.crc32(payload).to_bytes(4, "little") + payload
+        return zlib.crc32(W._MAGIC + b"\x01" + bytes(19) + record)
+
+    ends_in_ff = next(p for p in (b"\xff%d" % i for i in range(10_000)) if checksum(p) >> 24 == 255)
+    payloads = {k: [b"\xffabc"] * 3 for k in range(10)} | {6: [ends_in_ff], 7: [b"\xff"] * 255, 8: [b"\xff" * 128] * 2}
+    rows = [(0, k, i, bytearray(p)) for k, ps in payloads.items() for i, p in enumerate(ps)]
+    segmented = spark.createDataFrame(rows, "shard_id long, seg_no long, seq long, payload binary")
+    monkeypatch.setattr(Q, "_files", lambda *_: W.segment_bytes(segmented))
+    verdicts = ["ok", "TooShort", "Header", "NoSentinel", "BadRecord", "MissingFooter", "CrcMismatch", "FooterMismatch(count)", "FooterMismatch(bytes)", "TrailingBytes"]
+    want = [(0, k, verdicts[k], 0 if k in (1, 2, 4) else len(payloads[k])) for k in range(10)]
+    assert sorted(map(tuple, Q.segment_verify(spark, "").collect())) == want
+
+
 def test_few_records_can_end_a_large_segment():
     r = np.random.default_rng(3)
     sizes = r.integers(100, 272, 3_000_000)
