@@ -1,9 +1,11 @@
 """Exact top-k search by distributed histogram selection.
 
 All scores of a query against the rows are computed in blocks (block of queries x block of rows, one matrix product).
-No score leaves its task: a round sends, for each query, a histogram over the query's open interval, cut off once it
-holds the wanted count.  The summed histograms tell in which bin the k-th best score lies; the next round opens only
-that bin.  An interval of one score that many rows tie on is refined by id in the same way.  When few rows are left
+The pairs of blocks are dealt as a grid, a cell for each task: a cell gets a share of the queries and a share of the
+rows, so neither side is copied to all tasks, and a task holds its queries and one block of rows at a time.
+No score leaves its task: a round sends, for each query and cell, a histogram over the query's open interval, cut off
+once it holds the wanted count.  The summed histograms tell in which bin the k-th best score lies; the next round opens
+only that bin.  An interval of one score that many rows tie on is refined by id in the same way.  When few rows are left
 in the interval, one last pass keeps what reaches it, and the order (score, then smaller id) gives the ranks.
 
 Scores are exact integers whatever the size of the components; one that no long holds counts as the nearest long.
@@ -11,6 +13,7 @@ Scores are exact integers whatever the size of the components; one that no long
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +28,7 @@ BINS = 4096
 #: An interval with so many rows beyond k is not refined any further.
 SLACK = 64
 _STATE = ["s_lo", "s_hi", "i_lo", "i_hi", "need"]
+_BLOCK = "block long, dim int, width int, body binary, ids binary"
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -42,23 +46,25 @@ def _floors(x: np.ndarray, scale: int) -> np.ndarray:
 
 def _blocks(rows: int, extra: list[str], scale: int):
     """Pack rows (id, dim, vec, extra longs) of each task into blocks of one dimension: the floors of the scaled
-    components where all are small, or else the components as they are."""
+    components as integers of 1 or 2 bytes where all are small, or else the components as they are (8 bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims).tolist():
+            for dim in np.unique(dims[dims > 0]).tolist():
                 own = batch.filter(pa.array(dims == dim))
                 for at in range(0, own.num_rows, rows):
                     part = own.slice(at, rows)
                     columns = [part.column(c).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for c in ("id", *extra)]
                     body = part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(float)
                     floors = _floors(body, scale)
-                    small = body.size > 0 and float(np.abs(floors).max()) < 2**15
+                    most = float(np.abs(floors).max())
+                    width = 1 if most < 2**7 else 2 if most < 2**15 else 8
+                    body = body if width == 8 else floors.astype(f"i{width}")
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([number]), pa.array([dim], pa.int32()), pa.array([small]), pa.array([floors.astype(np.int16).tobytes() if small else body.tobytes()], pa.binary()), *[pa.array([c], pa.binary()) for c in columns]],
-                        ["block", "dim", "small", "body", "ids", *extra],
+                        [pa.array([number]), pa.array([dim], pa.int32()), pa.array([width], pa.int32()), *[pa.array([c], pa.binary()) for c in (body.tobytes(), *columns)]],
+                        ["block", "dim", "width", "body", "ids", *extra],
                     )
                     number += 1
 
@@ -68,11 +74,11 @@ def _blocks(rows: int, extra: list[str], scale: int):
 class _Side:
     """One block of vectors: ``floors`` as floating-point numbers, exact below 2**53; ``raw``: the components, if not small."""
 
-    def __init__(self, body: bytes, small: bool, dim: int, scale: int):
-        self.raw = None if small else np.frombuffer(body, float).reshape(-1, dim)
+    def __init__(self, body: bytes, width: int, dim: int, scale: int):
+        self.raw = np.frombuffer(body, float).reshape(-1, dim) if width == 8 else None
         self.scale = scale
-        self.floors = np.frombuffer(body, np.int16).astype(float).reshape(-1, dim) if small else _floors(self.raw, scale)
-        self.most = np.abs(self.floors).max(axis=1, initial=0.0)
+        self.floors = np.frombuffer(body, f"i{width}").astype(np.float32).reshape(-1, dim) if width < 8 else _floors(self.raw, scale)
+        self.most = np.abs(self.floors).max(axis=1, initial=0.0).astype(float)
 
     def integers(self, row: int) -> list[int]:
         if self.raw is None:
@@ -81,12 +87,15 @@ class _Side:
 
 
 def _scores(q: _Side, r: _Side) -> np.ndarray:
-    """Exact integer inner products, cut to the range of a long."""
+    """Exact integer inner products, cut to the range of a long: as floating-point numbers where these are exact."""
     dim = q.floors.shape[1]
-    if float(q.most.max(initial=0)) * float(r.most.max(initial=0)) * dim < 2.0**53:
-        return (q.floors @ r.floors.T).astype(np.int64)
+    most = float(q.most.max(initial=0)) * float(r.most.max(initial=0)) * dim
+    kind = np.float32 if most < 2.0**24 else np.float64
+    a, b = q.floors.astype(kind, copy=False), r.floors.astype(kind, copy=False)
+    if most < 2.0**53:
+        return a @ b.T
     with np.errstate(all="ignore"):
-        close = q.floors @ r.floors.T
+        close = a @ b.T
         bound = q.most[:, None] * r.most[None, :] * dim
         easy = bound < 2.0**53
         out = np.where(easy, close, 0).astype(np.int64)
@@ -94,7 +103,7 @@ def _scores(q: _Side, r: _Side) -> np.ndarray:
         close, bound = close[np.ix_(rows, cols)], bound[np.ix_(rows, cols)]
         error = bound * 2.0**-40  # more than all roundings of up to 2**12 products
         longs = lambda x: np.where(np.abs(x) < 2.0**62, x, 0).astype(np.int64)
-        wrapped = longs(q.floors[rows]) @ longs(r.floors[cols]).T  # right modulo 2**64
+        wrapped = longs(a[rows]) @ longs(b[cols]).T  # right modulo 2**64
         fits = (q.most[rows, None] < 2.0**62) & (r.most[None, cols] < 2.0**62) & (np.abs(close) + error < 2.0**63)
         beyond = np.isfinite(close) & np.isfinite(error) & (np.abs(close) - error >= 2.0**63)
         edge = np.where(close > 0, np.iinfo(np.int64).max, np.iinfo(np.int64).min)
@@ -110,64 +119,135 @@ def _scores(q: _Side, r: _Side) -> np.ndarray:
     return out
 
 
-def _pair_inputs(batch: pa.RecordBatch, scale: int) -> Iterator[tuple]:
-    for row in batch.to_pylist():
-        dim = row["dim"]
-        if dim == 0:
-            continue
-        longs = {c: np.frombuffer(row[c], np.int64) for c in ("q_ids", "ids", *_STATE)}
-        yield longs, _scores(_Side(row["q_body"], row["q_small"], dim, scale), _Side(row["body"], row["small"], dim, scale))
+def _as_kind(bounds: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """Longs as bounds of scores of this kind: floating-point scores lie within the numbers that it holds exactly."""
+    if kind == np.int64:
+        return bounds
+    most = 2**24 if kind == np.float32 else 2**53
+    return np.clip(bounds, -most, most).astype(kind)
 
 
-def _bins(values: np.ndarray, lo: int, hi: int, down: bool) -> tuple[np.ndarray, ...]:
-    """(bin, smallest, largest value of the bin, count) of the bins that have values, from hi down or from lo up.
-
-    Differences are taken modulo 2**64, so any two longs may be the ends.
-    """
-    width = np.uint64(-(-(hi - lo + 1) // BINS))
-    away = (np.int64(hi) - values if down else values - np.int64(lo)).view(np.uint64)
-    found, counts = np.unique(away // width, return_counts=True)
-    first = found * width
-    last = np.minimum(first + (width - np.uint64(1)), np.uint64(hi - lo))
-    last = np.where(last < first, np.uint64(hi - lo), last)
-    ends = [(np.uint64(hi % 2**64) - x if down else np.uint64(lo % 2**64) + x).view(np.int64) for x in (first, last)]
-    return found.view(np.int64), ends[down], ends[not down], counts
+def _reaching(scores: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the scores that are no smaller than the floor of their row."""
+    floor = _as_kind(floor, scores.dtype)
+    rows = np.flatnonzero(scores.max(axis=1) >= floor)
+    i, j = np.nonzero(scores[rows] >= floor[rows, None])
+    return rows[i], j
 
 
-def _histograms(scale: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[np.ndarray, ...]] = []
-            for x, scores in _pair_inputs(batch, scale):
-                for i, q in enumerate(x["q_ids"].tolist()):
-                    s, need = scores[i], int(x["need"][i])
-                    s_lo, s_hi, i_lo, i_hi = (int(x[c][i]) for c in _STATE[:4])
-                    ok = (s >= s_lo) & (s <= s_hi) & (x["ids"] != q)
-                    if s_lo < s_hi:
-                        found, low, high, counts = _bins(s[ok], s_lo, s_hi, True)
-                    else:
-                        own = x["ids"][ok]
-                        found, low, high, counts = _bins(own[(own >= i_lo) & (own <= i_hi)], i_lo, i_hi, False)
-                    n = int(np.searchsorted(np.cumsum(counts), need)) + 1  # the k-th best overall is no worse than here
-                    out.append((np.full(len(found[:n]), q), found[:n], low[:n], high[:n], counts[:n]))
-            columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "bin", "low", "high", "n"])
+class _Open:
+    """One block of queries with their open intervals, and histograms of what lies in them, from the best value on.
 
-    return run
+    Bins are counted from s_hi down or from i_lo up.  Differences are taken modulo 2**64, so any two longs may be the
+    ends.  A bin after ``last`` can't hold the k-th best value: those before it hold as many by themselves.
+    """
 
+    def __init__(self, side: _Side, ids: np.ndarray, s_lo: np.ndarray, s_hi: np.ndarray, i_lo: np.ndarray, i_hi: np.ndarray, need: np.ndarray):
+        self.side, self.ids, self.s_lo, self.s_hi, self.i_lo, self.i_hi, self.need = side, ids, s_lo, s_hi, i_lo, i_hi, need
+        self.by_score = s_lo < s_hi
+        self.span = np.where(self.by_score, s_hi - s_lo, i_hi - i_lo).view(np.uint64)
+        self.width = self.span // np.uint64(BINS) + np.uint64(1)
+        self.last = np.full(len(ids), BINS - 1)
+        self.floor, self.met = s_lo, False
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def bins(self, i: np.ndarray, values: np.ndarray) -> np.ndarray:
+        away = np.where(self.by_score[i], self.s_hi[i] - values, values - self.i_lo[i]).view(np.uint64)
+        return (away // self.width[i]).view(np.int64)
+
+    def ends(self, i: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Smallest and largest value of the bins."""
+        first = bins.astype(np.uint64) * self.width[i]
+        last = first + (self.width[i] - np.uint64(1))
+        last = np.where((last < first) | (last > self.span[i]), self.span[i], last)
+        first, last = first.view(np.int64), last.view(np.int64)
+        by = self.by_score[i]
+        return np.where(by, self.s_hi[i] - last, self.i_lo[i] + first), np.where(by, self.s_hi[i] - first, self.i_lo[i] + last)
+
+    def cut(self, i: np.ndarray, bins: np.ndarray) -> None:
+        self.last[i] = np.minimum(self.last[i], bins)
+        every = np.arange(len(self.ids))
+        self.floor = np.where(self.by_score, self.ends(every, self.last)[0], self.s_lo)
+
+    def first_cut(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Cut by the first block alone, so that its many worse scores are not counted one by one."""
+        self.met, need = True, int(self.need.max())
+        if need > scores.shape[1]:
+            return
+        low, high = (_as_kind(x, scores.dtype)[:, None] for x in (self.s_lo, self.s_hi))
+        none = np.iinfo(np.int64).min if scores.dtype == np.int64 else scores.dtype.type(-np.inf)
+        fine = (scores >= low) & (scores <= high) & (self.ids[:, None] != ids[None, :])
+        best = np.partition(np.where(fine, scores, none), -need, axis=1)[:, -need]
+        i = np.flatnonzero(self.by_score & (best > none))
+        self.cut(i, self.bins(i, best[i].astype(np.int64)))
+
+    def count(self, r: _Side, ids: np.ndarray) -> None:
+        scores = _scores(self.side, r)
+        if not self.met:
+            self.first_cut(scores, ids)
+        i, j = _reaching(scores, self.floor)
+        s, own, by = scores[i, j].astype(np.int64), ids[j], self.by_score[i]
+        fine = (own != self.ids[i]) & (s <= self.s_hi[i]) & (by | ((own >= self.i_lo[i]) & (own <= self.i_hi[i])))
+        i, values = i[fine], np.where(by, s, own)[fine]
+        bins = self.bins(i, values)
+        near = bins <= self.last[i]
+        i, bins = i[near], bins[near]
+        if not len(i):
+            return
+        keys, place = np.unique(np.concatenate([self.keys, i * BINS + bins]), return_inverse=True)
+        counts = np.bincount(place, np.concatenate([self.counts, np.ones(len(i), np.int64)])).astype(np.int64)
+        i = keys // BINS
+        upto = np.cumsum(counts)
+        upto -= (upto - counts)[np.searchsorted(i, i)]  # less what the queries before hold
+        keep = upto - counts < self.need[i]
+        full = keep & (upto >= self.need[i])
+        self.keys, self.counts = keys[keep], counts[keep]
+        self.cut(i[full], keys[full] % BINS)
+
+    def histogram(self) -> tuple[np.ndarray, ...]:
+        i, bins = self.keys // BINS, self.keys % BINS
+        return self.ids[i], bins, *self.ends(i, bins), self.counts, self.need[i]
+
+    def survivors(self, r: _Side, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        scores = _scores(self.side, r)
+        i, j = _reaching(scores, self.s_lo)
+        s, own = scores[i, j].astype(np.int64), ids[j]
+        good = (own != self.ids[i]) & ((s > self.s_hi[i]) | (own <= self.i_hi[i]))
+        return self.ids[i][good], own[good], s[good]
+
+
+def _table(names: list[str], found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    columns = [np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+
+def _cells(scale: int, last_pass: bool):
+    """Of each cell first the blocks of queries come, which are held, then those of rows, one at a time."""
+    names = ["query_id", "vec_id", "score"] if last_pass else ["query_id", "bin", "low", "high", "n", "need"]
 
-def _survivors(scale: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
         for batch in batches:
-            out: list[tuple[np.ndarray, ...]] = []
-            for x, scores in _pair_inputs(batch, scale):
-                for i, q in enumerate(x["q_ids"].tolist()):
-                    s = scores[i]
-                    good = (s > int(x["s_hi"][i])) | ((s >= int(x["s_lo"][i])) & (x["ids"] <= int(x["i_hi"][i])))
-                    good = np.flatnonzero(good & (x["ids"] != q))
-                    out.append((np.full(len(good), q), x["ids"][good], s[good]))
-            columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                if row["cell"] != cell:
+                    if not last_pass:
+                        yield _table(names, [q.histogram() for q in held])
+                    cell, held = row["cell"], []
+                if row["side"] and not held:
+                    continue
+                side, ids = _Side(row["body"], row["width"], row["dim"], scale), np.frombuffer(row["ids"], np.int64)
+                if not row["side"]:
+                    held.append(_Open(side, ids, *(np.frombuffer(row[c], np.int64) for c in _STATE)))
+                    continue
+                same = [q for q in held if q.side.floors.shape[1] == row["dim"]]
+                if last_pass:
+                    yield _table(names, [q.survivors(side, ids) for q in same])
+                else:
+                    for q in same:
+                        q.count(side, ids)
+        if not last_pass:
+            yield _table(names, [q.histogram() for q in held])
 
     return run
 
@@ -185,38 +265,40 @@ def exact_top_k(
     """
     spark = df.sparkSession
     vectors = usable(df, id_col, vector_col)
-    rows = stored(vectors.mapInArrow(_blocks(row_block, [], scale), "block long, dim int, small boolean, body binary, ids binary"), "rows")
+    rows = stored(vectors.mapInArrow(_blocks(row_block, [], scale), _BLOCK), "rows")
     largest = F.array_max(F.transform("vec", lambda v: F.abs(v)))
-    limits = vectors.agg(F.max(largest).alias("top"), F.min("id").alias("a"), F.max("id").alias("b")).first()
+    limits = vectors.agg(F.max(largest).alias("top"), F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).first()
     top, first_id, last_id = limits["top"] or 0.0, limits["a"] or 0, limits["b"] or 0
     # A bound of every score, rounded up; the whole range of a long where it is beyond.
     reach = F.aggregate("vec", F.lit(0.0), lambda s, v: s + F.abs(v) * scale + 1) * F.lit(top * scale + 1) * F.lit(1 + 1e-9) + 1
     wide, near = reach >= 9e18, F.least(reach, F.lit(9e18)).cast("long")
     s_lo, s_hi = F.when(wide, F.lit(-(2**63))).otherwise(-near), F.when(wide, F.lit(2**63 - 1)).otherwise(near)
     queries = vectors.filter(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("dim", "vec")).alias("v"))
-    queries = queries.select("id", "v.dim", "v.vec").select("*", s_lo.alias("s_lo"), s_hi.alias("s_hi"), F.lit(first_id).cast("long").alias("i_lo"), F.lit(last_id).cast("long").alias("i_hi"), F.lit(k).cast("long").alias("need"))
+    queries = queries.select("id", "v.dim", "v.vec").select("*", s_lo.alias("s_lo"), s_hi.alias("s_hi"), F.lit(first_id).cast("long").alias("i_lo"), F.lit(last_id).cast("long").alias("i_hi"), F.lit(max(k, 1)).cast("long").alias("need"))
     queries = stored(queries, "queries")
-    groups = 4 * partitions(spark)
-    placed = rows.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)))
-    used = [r["g"] for r in placed.select("g").distinct().orderBy("g").collect()]  # at most ``groups`` numbers
-    if not used:
-        used = [0]
-
-    def meet(open_queries: DataFrame) -> DataFrame:
-        schema = "block long, dim int, small boolean, body binary, ids binary, " + ", ".join(f"{c} binary" for c in _STATE)
-        packed = open_queries.mapInArrow(_blocks(query_block, _STATE, scale), schema)
-        sides = packed.select("dim", F.col("small").alias("q_small"), F.col("body").alias("q_body"), F.col("ids").alias("q_ids"), *_STATE, F.explode(F.array(*[F.lit(g).cast("long") for g in used])).alias("g"))
-        return sides.join(placed.select("g", "dim", "small", "body", "ids"), ["g", "dim"])
+    cells, n_blocks = partitions(spark), rows.count()
+
+    def meet(open_queries: DataFrame, asked: int) -> DataFrame:
+        """The blocks of both sides, sorted by cell.  With this grid both sides together are copied as little as may be."""
+        across = max(1, min(cells, n_blocks, round(math.sqrt(cells * limits["n"] / max(1, asked)))))
+        down = max(1, cells // across)
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        one = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+        packed = open_queries.mapInArrow(_blocks(query_block, _STATE, scale), _BLOCK + "".join(f", {c} binary" for c in _STATE))
+        sides = packed.select("*", F.lit(0).alias("side"), one(down).alias("down"), each(across).alias("across"))
+        sides = sides.unionByName(rows.select("*", F.lit(1).alias("side"), each(down).alias("down"), one(across).alias("across")), allowMissingColumns=True)
+        sides = sides.withColumn("cell", F.col("down") * across + F.col("across")).drop("block", "down", "across")
+        return sides.repartitionById(down * across, "cell").sortWithinPartitions("cell", "side")
 
     pending, done = queries, None
+    asked = in_all = queries.count()
     while True:
-        counts = meet(pending).mapInArrow(_histograms(scale), "query_id long, bin long, low long, high long, n long")
-        counts = counts.groupBy("query_id", "bin").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+        counts = meet(pending, asked).mapInArrow(_cells(scale, False), "query_id long, bin long, low long, high long, n long, need long")
+        counts = counts.groupBy("query_id", "bin").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.max("need").alias("need"))
         best_first = Window.partitionBy("query_id").orderBy("bin")
         counts = counts.select("*", F.sum("n").over(best_first).alias("upto"))
-        met = counts.join(pending.select(F.col("id").alias("query_id"), *_STATE), "query_id").filter("upto >= need")
-        met = met.groupBy("query_id").agg(F.min(F.struct("bin", "n", "upto", "low", "high")).alias("hit"))
-        after = pending.join(met.withColumnRenamed("query_id", "id"), "id", "left")
+        met = counts.filter("upto >= need").groupBy(F.col("query_id").alias("id")).agg(F.min(F.struct("bin", "n", "upto", "low", "high")).alias("hit"))
+        after = pending.join(met.hint("merge"), "id", "left")  # an estimated size would decide on a broadcast
         by_score = F.col("s_lo") < F.col("s_hi")
         s_lo, s_hi = (F.when(by_score, F.col(f"hit.{end}")).otherwise(F.col(c)) for end, c in (("low", "s_lo"), ("high", "s_hi")))
         i_lo, i_hi = (F.when(by_score, F.col(c)).otherwise(F.col(f"hit.{end}")) for end, c in (("low", "i_lo"), ("high", "i_hi")))
@@ -228,8 +310,9 @@ def exact_top_k(
         found = step.filter("narrow").drop("narrow")
         done = found if done is None else done.unionByName(found)
         pending = step.filter("not narrow").drop("narrow")
-        if pending.isEmpty():
+        asked = pending.count()
+        if not asked:
             break
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    kept = meet(done).mapInArrow(_survivors(scale), "query_id long, vec_id long, score long")
+    kept = meet(done, in_all).mapInArrow(_cells(scale, True), "query_id long, vec_id long, score long")
     return kept.select("query_id", F.row_number().over(ranked).alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

@@ -58,6 +58,28 @@ def test_scores_of_huge_components_are_exact(spark, big):
     assert got == brute_top(rows)
 
 
+
+def test_copies_of_queries_do_not_pass_the_driver(spark):
+    whole = np.random.default_rng(5).integers(-127, 128, (3000, 512))
+    rows = [(i, x) for i, x in enumerate((whole / 256).tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    conf = spark.sparkContext._jsc.sc().conf()
+    session = {"spark.sql.shuffle.partitions": "40", "spark.sql.autoBroadcastJoinThreshold": "1m"}
+    before = {name: spark.conf.get(name) for name in session}
+    try:
+        for name, value in session.items():
+            spark.conf.set(name, value)
+        conf.set("spark.driver.maxResultSize", "4m")  # 100 queries are 0.1 MB, and there are 94 blocks of rows
+        got = sorted(tuple(x) for x in exact_top_k(table, every=30, row_block=32).collect())
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    scores = {q: whole @ whole[q] for q in range(0, 3000, 30)}
+    best = {q: sorted((-s, j) for j, s in enumerate(x.tolist()) if j != q)[:5] for q, x in scores.items()}
+    assert got == [(q, n + 1, j, -s) for q, x in best.items() for n, (s, j) in enumerate(x)]
+
+
 # ---------------------------------------------------------------- URLs
 def test_long_urls_end_soon(spark):
     urls = [":" * 100_000, "a:" * 100_000 + "://X.org/a?b", "http://" + "a." * 50_000 + "x/", "http://" + "".join(chr(0x4E00 + i) for i in range(20_000)) + "/", "x" * 200_000, "http://h/" + "/" * 100_000 + "?" + "&" * 100_000]
