@@ -7,6 +7,7 @@ No score leaves its task: a round sends, for each query and cell, a histogram ov
 once it holds the wanted count.  The summed histograms tell in which bin the k-th best score lies; the next round opens
 only that bin.  An interval of one score that many rows tie on is refined by id in the same way.  When few rows are left
 in the interval, one last pass keeps what reaches it, and the order (score, then smaller id) gives the ranks.
+After the first round a query meets only those shares of the rows in which its histogram has a bin up to that of the k-th.
 
 Scores are exact integers whatever the size of the components; one that no long holds counts as the nearest long.
 """
@@ -28,7 +29,9 @@ BINS = 4096
 #: An interval with so many rows beyond k is not refined any further.
 SLACK = 64
 _STATE = ["s_lo", "s_hi", "i_lo", "i_hi", "need"]
-_BLOCK = "block long, dim int, width int, body binary, ids binary"
+_BLOCK = "block long, share int, dim int, width int, body binary, ids binary"
+#: Products of this many queries and rows stay in a core's cache.
+_PRODUCT = (1024, 512)
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -45,15 +48,15 @@ def _floors(x: np.ndarray, scale: int) -> np.ndarray:
 
 
 def _blocks(rows: int, extra: list[str], scale: int):
-    """Pack rows (id, dim, vec, extra longs) of each task into blocks of one dimension: the floors of the scaled
-    components as integers of 1 or 2 bytes where all are small, or else the components as they are (8 bytes)."""
+    """Pack rows (id, dim, vec, share, extra longs) of each task into blocks of one dimension and share: the floors of the
+    scaled components as integers of 1 or 2 bytes where all are small, or else the components as they are (8 bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            for dim in np.unique(dims[dims > 0]).tolist():
-                own = batch.filter(pa.array(dims == dim))
+            dims, shares = batch.column("dim").to_numpy(), batch.column("share").to_numpy()
+            for dim, share in np.unique(np.stack([dims, shares])[:, dims > 0], axis=1).T.tolist():
+                own = batch.filter(pa.array((dims == dim) & (shares == share)))
                 for at in range(0, own.num_rows, rows):
                     part = own.slice(at, rows)
                     columns = [part.column(c).to_numpy(zero_copy_only=False).astype(np.int64).tobytes() for c in ("id", *extra)]
@@ -63,8 +66,8 @@ def _blocks(rows: int, extra: list[str], scale: int):
                     width = 1 if most < 2**7 else 2 if most < 2**15 else 8
                     body = body if width == 8 else floors.astype(f"i{width}")
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([number]), pa.array([dim], pa.int32()), pa.array([width], pa.int32()), *[pa.array([c], pa.binary()) for c in (body.tobytes(), *columns)]],
-                        ["block", "dim", "width", "body", "ids", *extra],
+                        [pa.array([number]), *[pa.array([x], pa.int32()) for x in (share, dim, width)], *[pa.array([c], pa.binary()) for c in (body.tobytes(), *columns)]],
+                        ["block", "share", "dim", "width", "body", "ids", *extra],
                     )
                     number += 1
 
@@ -221,33 +224,45 @@ def _table(names: list[str], found: list[tuple[np.ndarray, ...]]) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
 
+def _parts(rows: list[dict], names: list[str], size: int, scale: int) -> Iterator[tuple]:
+    """(vectors, longs of these names) of blocks of one dimension and width, joined and cut anew."""
+    dim, width = rows[0]["dim"], rows[0]["width"]
+    body, longs = b"".join(x["body"] for x in rows), [np.frombuffer(b"".join(x[c] for x in rows), np.int64) for c in names]
+    for at in range(0, len(longs[0]), size):
+        yield _Side(body[at * dim * width : (at + size) * dim * width], width, dim, scale), *(x[at : at + size] for x in longs)
+
+
 def _cells(scale: int, last_pass: bool):
     """Of each cell first the blocks of queries come, which are held, then those of rows, one at a time."""
-    names = ["query_id", "vec_id", "score"] if last_pass else ["query_id", "bin", "low", "high", "n", "need"]
+    names = ["query_id", "vec_id", "score"] if last_pass else ["query_id", "share", "bin", "low", "high", "n", "need"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held = None, []
+        cell, share, packed, held = None, 0, {}, {}
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            for q in [q for x in held.values() for q in x if not last_pass]:
+                ids, *columns = q.histogram()
+                yield _table(names, [(ids, np.full(len(ids), share), *columns)])
+
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1).to_pylist()[0]
                 if row["cell"] != cell:
-                    if not last_pass:
-                        yield _table(names, [q.histogram() for q in held])
-                    cell, held = row["cell"], []
-                if row["side"] and not held:
-                    continue
-                side, ids = _Side(row["body"], row["width"], row["dim"], scale), np.frombuffer(row["ids"], np.int64)
+                    yield from counted()
+                    cell, share, packed, held = row["cell"], row["share"], {}, {}
                 if not row["side"]:
-                    held.append(_Open(side, ids, *(np.frombuffer(row[c], np.int64) for c in _STATE)))
+                    packed.setdefault((row["dim"], row["width"]), []).append(row)
+                    continue
+                for (dim, _), blocks in packed.items():
+                    held.setdefault(dim, []).extend(_Open(*x) for x in _parts(blocks, ["ids", *_STATE], _PRODUCT[0], scale))
+                packed = {}
+                if row["dim"] not in held:
                     continue
-                same = [q for q in held if q.side.floors.shape[1] == row["dim"]]
-                if last_pass:
-                    yield _table(names, [q.survivors(side, ids) for q in same])
-                else:
-                    for q in same:
-                        q.count(side, ids)
-        if not last_pass:
-            yield _table(names, [q.histogram() for q in held])
+                for side, ids in _parts([row], ["ids"], _PRODUCT[1], scale):
+                    found = [q.survivors(side, ids) if last_pass else q.count(side, ids) for q in held[row["dim"]]]
+                    if last_pass:
+                        yield _table(names, found)
+        yield from counted()
 
     return run
 
@@ -265,7 +280,7 @@ def exact_top_k(
     """
     spark = df.sparkSession
     vectors = usable(df, id_col, vector_col)
-    rows = stored(vectors.mapInArrow(_blocks(row_block, [], scale), _BLOCK), "rows")
+    rows = stored(vectors.withColumn("share", F.lit(0)).mapInArrow(_blocks(row_block, [], scale), _BLOCK).drop("share"), "rows")
     largest = F.array_max(F.transform("vec", lambda v: F.abs(v)))
     limits = vectors.agg(F.max(largest).alias("top"), F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).first()
     top, first_id, last_id = limits["top"] or 0.0, limits["a"] or 0, limits["b"] or 0
@@ -276,43 +291,52 @@ def exact_top_k(
     queries = vectors.filter(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("dim", "vec")).alias("v"))
     queries = queries.select("id", "v.dim", "v.vec").select("*", s_lo.alias("s_lo"), s_hi.alias("s_hi"), F.lit(first_id).cast("long").alias("i_lo"), F.lit(last_id).cast("long").alias("i_hi"), F.lit(max(k, 1)).cast("long").alias("need"))
     queries = stored(queries, "queries")
-    cells, n_blocks = partitions(spark), rows.count()
+    asked, n_blocks, cells = queries.count(), rows.count(), partitions(spark)
+    # With this grid both sides together are copied as little as may be.
+    across = max(1, min(cells, n_blocks, round(math.sqrt(cells * limits["n"] / max(1, asked)))))
+    most = max(1, cells // across)
 
-    def meet(open_queries: DataFrame, asked: int) -> DataFrame:
-        """The blocks of both sides, sorted by cell.  With this grid both sides together are copied as little as may be."""
-        across = max(1, min(cells, n_blocks, round(math.sqrt(cells * limits["n"] / max(1, asked)))))
-        down = max(1, cells // across)
+    def meet(open_queries: DataFrame, down: int) -> DataFrame:
+        """The blocks of queries and rows, sorted by cell: a share of the rows, and of its queries one of ``down`` parts."""
         each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         one = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
-        packed = open_queries.mapInArrow(_blocks(query_block, _STATE, scale), _BLOCK + "".join(f", {c} binary" for c in _STATE))
-        sides = packed.select("*", F.lit(0).alias("side"), one(down).alias("down"), each(across).alias("across"))
-        sides = sides.unionByName(rows.select("*", F.lit(1).alias("side"), each(down).alias("down"), one(across).alias("across")), allowMissingColumns=True)
-        sides = sides.withColumn("cell", F.col("down") * across + F.col("across")).drop("block", "down", "across")
+        known = "shares" in open_queries.columns
+        given = open_queries.select("*", (F.explode("shares") if known else F.lit(0)).alias("share"))
+        packed = given.mapInArrow(_blocks(query_block, _STATE, scale), _BLOCK + "".join(f", {c} binary" for c in _STATE))
+        sides = (packed if known else packed.drop("share").select("*", each(across).alias("share"))).select("*", F.lit(0).alias("side"), one(down).alias("down"))
+        sides = sides.unionByName(rows.select("*", one(across).alias("share"), F.lit(1).alias("side"), each(down).alias("down")), allowMissingColumns=True)
+        sides = sides.withColumn("cell", F.col("down") * across + F.col("share")).drop("block", "down")
         return sides.repartitionById(down * across, "cell").sortWithinPartitions("cell", "side")
 
-    pending, done = queries, None
-    asked = in_all = queries.count()
+    def parts(pairs: int) -> int:
+        """Of so many pairs of a query and a share, a cell holds no more queries than one of the first round."""
+        return max(1, math.ceil(most * pairs / (across * asked)))
+
+    pending, done, pairs, in_all = queries, None, asked * across, 0
     while True:
-        counts = meet(pending, asked).mapInArrow(_cells(scale, False), "query_id long, bin long, low long, high long, n long, need long")
-        counts = counts.groupBy("query_id", "bin").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"), F.max("need").alias("need"))
+        counts = meet(pending, parts(pairs) if asked else 1).mapInArrow(_cells(scale, False), "query_id long, share long, bin long, low long, high long, n long, need long")
         best_first = Window.partitionBy("query_id").orderBy("bin")
-        counts = counts.select("*", F.sum("n").over(best_first).alias("upto"))
-        met = counts.filter("upto >= need").groupBy(F.col("query_id").alias("id")).agg(F.min(F.struct("bin", "n", "upto", "low", "high")).alias("hit"))
+        before = F.coalesce(F.sum("n").over(best_first.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.select("*", before.alias("before"), F.sum("n").over(best_first).alias("upto")).filter("before < need")
+        hit = F.max(F.struct("bin", "before", "upto", "low", "high")).alias("hit")
+        met = counts.groupBy(F.col("query_id").alias("id")).agg(hit, F.collect_set(F.col("share").cast("int")).alias("met"))
         after = pending.join(met.hint("merge"), "id", "left")  # an estimated size would decide on a broadcast
         by_score = F.col("s_lo") < F.col("s_hi")
         s_lo, s_hi = (F.when(by_score, F.col(f"hit.{end}")).otherwise(F.col(c)) for end, c in (("low", "s_lo"), ("high", "s_hi")))
         i_lo, i_hi = (F.when(by_score, F.col(c)).otherwise(F.col(f"hit.{end}")) for end, c in (("low", "i_lo"), ("high", "i_hi")))
-        short = F.col("hit").isNull()  # fewer rows than wanted: all of the interval count
-        new = {"s_lo": s_lo, "s_hi": s_hi, "i_lo": i_lo, "i_hi": i_hi, "need": F.col("need") - (F.col("hit.upto") - F.col("hit.n"))}
-        narrow = short | (F.col("hit.n") <= SLACK + F.col("need")) | ((s_lo == s_hi) & (i_lo == i_hi))
-        step = after.select("id", "dim", "vec", *[F.when(short, F.col(c)).otherwise(x).alias(c) for c, x in new.items()], narrow.alias("narrow"))
+        short = F.col("hit").isNull() | (F.col("hit.upto") < F.col("need"))  # fewer rows than wanted: all of the interval count
+        new = {"s_lo": s_lo, "s_hi": s_hi, "i_lo": i_lo, "i_hi": i_hi, "need": F.col("need") - F.col("hit.before")}
+        narrow = short | (F.col("hit.upto") - F.col("hit.before") <= SLACK + F.col("need")) | ((s_lo == s_hi) & (i_lo == i_hi))
+        shares = F.col("shares" if "shares" in pending.columns else "met").alias("shares")
+        step = after.select("id", "dim", "vec", *[F.when(short, F.col(c)).otherwise(x).alias(c) for c, x in new.items()], shares, narrow.alias("narrow"))
         step = stored(step, "selection")
         found = step.filter("narrow").drop("narrow")
         done = found if done is None else done.unionByName(found)
         pending = step.filter("not narrow").drop("narrow")
-        asked = pending.count()
-        if not asked:
+        left = dict(step.groupBy("narrow").agg(F.sum(F.size(F.coalesce("shares", F.array().cast("array<int>"))))).collect())
+        in_all, pairs = in_all + left.get(True, 0), left.get(False)
+        if pairs is None:
             break
     ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    kept = meet(done, in_all).mapInArrow(_cells(scale, True), "query_id long, vec_id long, score long")
+    kept = meet(done, parts(in_all) if asked else 1).mapInArrow(_cells(scale, True), "query_id long, vec_id long, score long")
     return kept.select("query_id", F.row_number().over(ranked).alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
